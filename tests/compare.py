@@ -1,0 +1,41 @@
+"""Order-insensitive comparison of a Spark result with a DuckDB result."""
+
+from __future__ import annotations
+
+import datetime
+import decimal
+import glob
+import os
+
+import duckdb
+
+
+def connect(directory: str) -> duckdb.DuckDBPyConnection:
+    connection = duckdb.connect()
+    for path in glob.glob(f"{directory}/*.parquet"):
+        name = os.path.basename(path)[: -len(".parquet")]
+        connection.execute(f"create view {name} as select * from '{path}'")
+    return connection
+
+
+def plain(value):
+    if isinstance(value, datetime.datetime) and value.tzinfo is not None:
+        return value.astimezone(datetime.timezone.utc).replace(tzinfo=None)
+    if isinstance(value, decimal.Decimal):
+        return float(value)
+    return value
+
+
+def rows(columns, data):
+    order = sorted(range(len(columns)), key=lambda i: columns[i])
+    return sorted((tuple(plain(r[i]) for i in order) for r in data), key=repr)
+
+
+def spark_rows(df):
+    return sorted(df.columns), rows(df.columns, [tuple(r) for r in df.collect()])
+
+
+def sql_rows(connection, sql):
+    result = connection.execute(sql)
+    columns = [c[0] for c in result.description]
+    return sorted(columns), rows(columns, result.fetchall())
