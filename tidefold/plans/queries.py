@@ -40,7 +40,7 @@ def _at(text: str) -> Column:
 
 
 def _stream(spark: SparkSession, d: str, table: str, batches: int = 3) -> DataFrame:
-    path, files = standins.land(standins.RECORDS[table](spark, d), table)
+    path, files = standins.land_table(spark, d, table)
     return file_records(spark, path, max_files_per_trigger=ceil(files / batches))
 
 
@@ -226,7 +226,7 @@ def silver_stores(spark: SparkSession, d: str) -> DataFrame:
 
 
 def silver_deletes(spark: SparkSession, d: str) -> DataFrame:
-    last = latest_per_key(standins.sale_changes(spark, d), ["txn_id"], ORDER)
+    last = latest_per_key(standins.sale_lines(spark, d), ["txn_id"], ORDER)
     return last.filter("op = 'd'").select("txn_id", "ts_ms")
 
 
@@ -278,7 +278,7 @@ def independent_streams(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _sale_log(spark: SparkSession, d: str, changes: DataFrame | None = None) -> DataFrame:
-    changes = standins.sale_changes(spark, d) if changes is None else changes
+    changes = standins.sale_lines(spark, d) if changes is None else changes
     month = F.year("shipped_at") * 100 + F.month("shipped_at")
     return changelog.change_log(changes, "sales_transactions", ["txn_id"], F.col("shipped_at"), month)
 
@@ -325,23 +325,29 @@ def sum_types(spark: SparkSession, d: str) -> DataFrame:
 
 def _split_by_time(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
     """Sales as an early run saw them, and as they are now."""
-    changes = standins.sale_changes(spark, d)
-    early = changes.filter(F.col("shipped_at") < F.lit("1998-01-01").cast("timestamp"))
+    lines = standins.sale_lines(spark, d)
+    early = lines.filter(F.col("shipped_at") < F.lit("1998-01-01").cast("timestamp"))
     return (
-        live(latest_per_key(early, ["txn_id"], ORDER)),
-        live(latest_per_key(changes, ["txn_id"], ORDER)),
+        standins.typed_sales(live(latest_per_key(early, ["txn_id"], ORDER))),
+        standins.sales(spark, d),
     )
 
 
-def _merged_summary(spark: SparkSession, d: str) -> DataFrame:
-    early, now = _split_by_time(spark, d)
-    return merge.merge(
-        gold.sales_summary(early, _at(FIRST_RUN)), gold.sales_summary(now, _at(SECOND_RUN)), ["store_id", "product_id"]
-    )
+def _merge_into_stored(
+    spark: SparkSession, table: str, before: DataFrame, after: DataFrame
+) -> DataFrame:
+    """Publish a first version of an aggregate, then merge a later result into it."""
+    ddl, keys = gold.GOLD[f"gold.{table}"]
+    layout = Layout(fresh_dir(spark, f"merge-{table}"))
+    publish_gold(spark, layout, table, before)
+    return merge.merge(read_gold(spark, layout, table, ddl), after, keys)
 
 
 def merge_sales_summary(spark: SparkSession, d: str) -> DataFrame:
-    return _merged_summary(spark, d)
+    early, now = _split_by_time(spark, d)
+    return _merge_into_stored(
+        spark, "sales_summary", gold.sales_summary(early, _at(FIRST_RUN)), gold.sales_summary(now, _at(SECOND_RUN))
+    )
 
 
 def merge_customer_loyalty(spark: SparkSession, d: str) -> DataFrame:
@@ -351,7 +357,7 @@ def merge_customer_loyalty(spark: SparkSession, d: str) -> DataFrame:
         customers.filter("loyalty_tier <> 'BUILDING'"), found.filter("status = 'completed'"), _at(FIRST_RUN)
     )
     after = gold.customer_loyalty(customers.filter("loyalty_tier <> 'MACHINERY'"), found, _at(SECOND_RUN))
-    return merge.merge(before, after, ["customer_id"])
+    return _merge_into_stored(spark, "customer_loyalty", before, after)
 
 
 def insert_if_absent(spark: SparkSession, d: str) -> DataFrame:
@@ -496,7 +502,7 @@ def silver_reconcile(spark: SparkSession, d: str) -> DataFrame:
     raw = read_raw(spark, layout, "sales_transactions", with_position=True)
     replayed = latest_per_key(to_changelog(replayable(raw, SALES), SALES), SALES.keys, ORDER)
     columns = ["txn_id", "store_id", "product_id", "qty", "total_amount", "status"]
-    last = latest_per_key(standins.sale_changes(spark, d), ["txn_id"], ORDER)
+    last = standins.typed_sales(latest_per_key(standins.sale_lines(spark, d), ["txn_id"], ORDER))
     faulty = (
         last.filter("(op <> 'd' or qty = 7) and not (op <> 'd' and qty = 50)")
         .withColumn("status", F.when((F.col("op") != "d") & (F.col("qty") == 1), "unknown").otherwise(F.col("status")))
@@ -507,7 +513,7 @@ def silver_reconcile(spark: SparkSession, d: str) -> DataFrame:
 
 def changelog_gaps(spark: SparkSession, d: str) -> DataFrame:
     """Keys that only deletes touched, against a log that forgot the deletes."""
-    changes = standins.sale_changes(spark, d)
+    changes = standins.sale_lines(spark, d)
     log = _sale_log(spark, d, changes.filter("op <> 'd'"))
     return reconcile.changelog_gaps(changes, log, "sales_transactions", ["txn_id"])
 
@@ -516,7 +522,7 @@ def gold_reconcile(spark: SparkSession, d: str) -> DataFrame:
     """An upserted aggregate keeps rows whose sales are gone; a recomputation finds them."""
     _, now = _split_by_time(spark, d)
     recomputed = gold.sales_summary(now, _at(SECOND_RUN))
-    return reconcile.reconcile(recomputed, _merged_summary(spark, d), ["store_id", "product_id"])
+    return reconcile.reconcile(recomputed, merge_sales_summary(spark, d), ["store_id", "product_id"])
 
 
 QUERIES = {

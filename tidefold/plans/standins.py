@@ -37,8 +37,8 @@ def _money(column: str) -> Column:
     return F.col(column).cast("decimal(12,2)")
 
 
-def sale_changes(spark: SparkSession, directory: str) -> DataFrame:
-    """Changes of sales without the customer, which the order supplies."""
+def sale_lines(spark: SparkSession, directory: str) -> DataFrame:
+    """Line items as changes of sales: keys and order, other fields as they are stored."""
     product, store = F.col("l_partkey").cast("int"), F.col("l_suppkey").cast("int")
     return read_table(spark, directory, "lineitem").select(
         _operation("l_returnflag").alias("op"),
@@ -46,15 +46,31 @@ def sale_changes(spark: SparkSession, directory: str) -> DataFrame:
         F.col("l_orderkey").alias("order_id"),
         store.alias("store_id"),
         product.alias("product_id"),
-        F.col("l_quantity").cast("int").alias("qty"),
-        _money("l_extendedprice").alias("total_amount"),
-        F.when(F.col("l_linestatus") == "F", "completed").otherwise("pending").alias("status"),
+        "l_quantity",
+        "l_extendedprice",
+        "l_linestatus",
         epoch_ms(F.col("l_shipdate")).alias("ts_ms"),
         (product.cast("long") * F.lit(1 << 31) + store).alias("offset"),
         F.col("l_shipdate").cast("timestamp").alias("shipped_at"),
     )
 
 
+def typed_sales(lines: DataFrame) -> DataFrame:
+    """The fields of a sale in their declared types."""
+    return lines.withColumns(
+        {
+            "qty": F.col("l_quantity").cast("int"),
+            "total_amount": _money("l_extendedprice"),
+            "status": F.when(F.col("l_linestatus") == "F", "completed").otherwise("pending"),
+        }
+    ).drop("l_quantity", "l_extendedprice", "l_linestatus")
+
+
+def sale_changes(spark: SparkSession, directory: str) -> DataFrame:
+    """Changes of sales without the customer, which the order supplies."""
+    return typed_sales(sale_lines(spark, directory))
+
+
 def with_customer(spark: SparkSession, directory: str, sales: DataFrame) -> DataFrame:
     orders = read_table(spark, directory, "orders").select(
         F.col("o_orderkey").alias("order_id"), F.col("o_custkey").cast("int").alias("customer_id")
@@ -67,7 +83,7 @@ SALE_COLUMNS = ["txn_id", "store_id", "product_id", "qty", "total_amount", "stat
 
 def sales(spark: SparkSession, directory: str) -> DataFrame:
     """Current sales without the customer: a fold of the line items."""
-    return live(latest_per_key(sale_changes(spark, directory), ["txn_id"], ["ts_ms", "offset"]))
+    return typed_sales(live(latest_per_key(sale_lines(spark, directory), ["txn_id"], ["ts_ms", "offset"])))
 
 
 def sales_transactions(spark: SparkSession, directory: str) -> DataFrame:
@@ -257,15 +273,28 @@ RECORDS = {
 }
 
 
-def land(records: DataFrame, label: str, min_files: int = 4) -> tuple[str, int]:
-    """Write records as JSON lines into a new folder; returns it and its number of files."""
+def land(records: DataFrame, label: str, rows: int, min_files: int = 4) -> tuple[str, int]:
+    """Write records as JSON lines into a new folder; returns it and its number of files.
+
+    ``rows`` (about how many records there are) only limits the file size, so
+    that a stream over a small table still takes several batches.
+    """
     spark = records.sparkSession
     path = fresh_dir(spark, label)
-    records.write.json(path)
-    files = len(spark.read.text(path).inputFiles())
-    if files < min_files:
-        # One task wrote everything: spread it, so that a stream takes several batches.
-        path = fresh_dir(spark, label)
-        records.repartition(min_files).write.json(path)
-        files = min_files
-    return path, files
+    per_file = min(1_000_000, -(-rows // min_files))
+    records.write.option("maxRecordsPerFile", per_file).json(path)
+    return path, len(spark.read.text(path).inputFiles())
+
+
+# The benchmark table each stream is made from.
+SOURCE_TABLE = {
+    "customers": "events",
+    "products": "part",
+    "sales_transactions": "lineitem",
+    "stores": "supplier",
+}
+
+
+def land_table(spark: SparkSession, directory: str, table: str) -> tuple[str, int]:
+    rows = read_table(spark, directory, SOURCE_TABLE[table]).count()
+    return land(RECORDS[table](spark, directory), table, rows)
