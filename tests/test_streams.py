@@ -1,0 +1,155 @@
+from __future__ import annotations
+
+import json
+
+import pytest
+from conftest import values
+from pyspark.sql import functions as F
+from records import SALES, document, records, row
+
+from tidefold.operators.changelog import change_log_rollup
+from tidefold.operators.envelope import changelog, decode_changelog
+from tidefold.operators.state import current_state, latest_per_key, live
+from tidefold.schemas import ORDER
+from tidefold.session import fresh_dir
+from tidefold.sinks.layout import snapshots
+from tidefold.sinks.silver import commit_batch, compact, read_change_log, read_silver
+from tidefold.sources.streams import file_records
+from tidefold.streaming.raw import read_raw, replayable, start_raw
+from tidefold.streaming.silver import start_silver
+
+NOW = {"availableNow": True}
+
+DOCUMENTS = [
+    document("r", None, row(1, qty=1, status="completed"), 1),
+    document("r", None, row(2, qty=1, status="completed"), 1),
+    document("c", None, row(3, qty=1), 2),
+    document("u", row(1), row(1, qty=5), 3),
+    document("d", row(2), None, 4),
+    document("u", row(3), row(30, qty=7), 5),
+    document("c", None, row(2, qty=9), 6),
+    document("u", row(1), row(1, qty=6), 3),
+    document("d", row(1), None, 8),
+    document("u", row(2), row(2, qty=None, total_amount=10.5), 9),
+]
+
+
+def land(spark, documents, files):
+    path = fresh_dir(spark, "inbox")
+    records(spark, documents).repartitionByRange(files, "offset").write.json(path)
+    return path
+
+
+def expected(spark):
+    return values(current_state(decode_changelog(records(spark, DOCUMENTS), SALES), SALES.keys, ORDER))
+
+
+@pytest.mark.parametrize("batches", [1, 2, 5])
+def test_stream_equals_batch_for_any_number_of_micro_batches(spark, layout, batches):
+    inbox = land(spark, DOCUMENTS, batches)
+    start_silver(file_records(spark, inbox, max_files_per_trigger=1), SALES, layout, NOW).awaitTermination()
+    committed = snapshots(spark, layout).filter("kind = 'delta'").count()
+    assert committed == batches
+    assert values(read_silver(spark, layout, SALES)) == expected(spark)
+    # one log row per row change; the update of a key counts for both keys
+    log = read_change_log(spark, layout)
+    assert log.count() == len(DOCUMENTS) + 1
+    assert log.select("snapshot_id").distinct().count() == batches
+    compact(spark, layout, SALES)
+    assert values(read_silver(spark, layout, SALES)) == expected(spark)
+
+
+def test_a_stream_resumes_after_the_last_record(spark, layout):
+    inbox = land(spark, DOCUMENTS[:4], 1)
+    start_silver(file_records(spark, inbox), SALES, layout, NOW).awaitTermination()
+    compact(spark, layout, SALES)
+    later = records(spark, DOCUMENTS).filter(F.col("offset") >= 4)
+    later.write.mode("append").json(inbox)
+    start_silver(file_records(spark, inbox), SALES, layout, NOW).awaitTermination()
+    for limit in (1000, 0):
+        assert values(read_silver(spark, layout, SALES, limit)) == expected(spark)
+
+
+def test_a_batch_delivered_twice_changes_nothing(spark, layout):
+    changes = decode_changelog(records(spark, DOCUMENTS), SALES)
+    for _ in range(2):
+        commit_batch(spark, layout, SALES, changes, 0, F.current_timestamp())
+    assert values(read_silver(spark, layout, SALES)) == expected(spark)
+    assert read_change_log(spark, layout).count() == len(DOCUMENTS) + 1
+    assert snapshots(spark, layout).count() == 1
+
+
+def test_a_half_written_batch_is_not_read(spark, layout):
+    changes = decode_changelog(records(spark, DOCUMENTS[:3]), SALES)
+    commit_batch(spark, layout, SALES, changes, 0, F.current_timestamp())
+    before = values(read_silver(spark, layout, SALES))
+    rest = decode_changelog(records(spark, DOCUMENTS), SALES)
+    latest_per_key(rest, SALES.keys, ORDER).write.parquet(layout.delta(SALES.name, 1))
+    assert values(read_silver(spark, layout, SALES)) == before
+
+
+def test_compaction_keeps_delete_markers_for_late_changes(spark, layout):
+    def commit(batch, doc, offset):
+        changes = changelog_at(spark, doc, offset)
+        commit_batch(spark, layout, SALES, changes, batch, F.current_timestamp())
+
+    commit(0, document("c", None, row(1), 1), 0)
+    commit(1, document("d", row(1), None, 5), 1)
+    compact(spark, layout, SALES)
+    commit(2, document("u", row(1), row(1, qty=3), 3), 2)  # older than the delete
+    assert read_silver(spark, layout, SALES).count() == 0
+    compact(spark, layout, SALES, keep_deletes_for=1)  # the delete is now too old to keep
+    assert read_silver(spark, layout, SALES).count() == 0
+
+
+def changelog_at(spark, doc, offset):
+    found = decode_changelog(records(spark, [doc]), SALES)
+    return found.withColumn("offset", F.lit(offset).cast("long"))
+
+
+def test_empty_table(spark, layout):
+    assert read_silver(spark, layout, SALES).count() == 0
+    assert read_change_log(spark, layout).count() == 0
+    assert compact(spark, layout, SALES) is None
+
+
+def test_raw_keeps_every_readable_document_and_counts_the_rest(spark, layout):
+    inbox = land(spark, [*DOCUMENTS, "no json", '{"x":1}'], 1)
+    query = start_raw(file_records(spark, inbox), SALES, layout, NOW, with_position=True)
+    query.awaitTermination()
+    counted = query.lastProgress["observedMetrics"]["raw_decode"]
+    assert (counted["documents"], counted["unreadable"]) == (len(DOCUMENTS) + 2, 2)
+    raw = read_raw(spark, layout, SALES.name, with_position=True)
+    assert raw.count() == len(DOCUMENTS)
+    assert raw.filter("ingested_at is null or ingest_date is null").isEmpty()
+    deleted = raw.filter("op = 'd'").first()
+    assert deleted.after_json is None and json.loads(deleted.before_json)["txn_id"] == 2
+    replay = latest_per_key(changelog(replayable(raw, SALES), SALES), SALES.keys, ORDER)
+    assert values(live(replay).select(*SALES.columns)) == expected(spark)
+
+
+def test_raw_and_silver_read_the_stream_independently(spark, layout):
+    inbox = land(spark, DOCUMENTS, 2)
+    start_raw(file_records(spark, inbox), SALES, layout, NOW).awaitTermination()
+    start_silver(file_records(spark, inbox), SALES, layout, NOW).awaitTermination()
+    assert read_raw(spark, layout, SALES.name).count() == len(DOCUMENTS)
+    assert values(read_silver(spark, layout, SALES)) == expected(spark)
+
+
+def test_malformed_input_stops_the_strict_stream(spark, layout):
+    inbox = land(spark, ["no json"], 1)
+    query = start_silver(file_records(spark, inbox), SALES, layout, NOW)
+    with pytest.raises(Exception, match="MALFORMED_RECORD|malformed"):
+        query.awaitTermination()
+
+
+def test_rolled_up_arrays_are_bounded_and_whole(spark):
+    rows = [("t", 1, str(k), None) for k in range(2500)] + [("t", 1, "7", None)] * 2500 + [("t", 2, "abc", None)]
+    log = spark.createDataFrame(rows, "table_name STRING, snapshot_id BIGINT, affected_keys STRING, committed_at TIMESTAMP")
+    found = change_log_rollup(log).collect()
+    numeric = [r for r in found if r.snapshot_id == 1]
+    assert sorted(r.n_keys for r in numeric) == [500, 1000, 1000]
+    assert sum(r.n_changes for r in numeric) == 5000
+    keys = [k for r in numeric for k in json.loads(r.affected_keys)]
+    assert sorted(map(int, keys)) == list(range(2500))
+    assert [json.loads(r.affected_keys) for r in found if r.snapshot_id == 2] == [["abc"]]

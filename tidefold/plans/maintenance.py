@@ -20,8 +20,6 @@ REPORT_DDL = "table_name STRING, step STRING, status STRING, items BIGINT, messa
 # Files younger than this may belong to a write that is still running.
 ORPHAN_AGE = datetime.timedelta(days=3)
 
-SINK_LOG_DDL = "path STRING, action STRING"
-
 
 def delete_paths(spark: SparkSession, paths: Iterable[str], threads: int = 16) -> int:
     """Delete files or folders through the cluster's file system; absent ones are fine."""
@@ -98,9 +96,9 @@ def table_orphans(
     if layer == "raw":
         root = layout.raw(name)
         listing = list_files(spark, [f"{root}/*/*.parquet"])
-        # The sink's own commit log, one JSON object per line after a version line.
-        log = spark.read.text(f"{root}/_spark_metadata").select(F.from_json("value", SINK_LOG_DDL).alias("e"))
-        referenced = log.filter(F.col("e.action") == "add").select("e.path").distinct()
+        # Loading the folder itself goes by the commit log of the streaming sink
+        # and so yields the committed files; the glob above lists all of them.
+        referenced = list_files(spark, [root])
         return orphans(listing, referenced, modified_before)
     root = f"{layout.root}/{layer}/{name}"
     globs = [f"{root}/delta/*/*.parquet", f"{root}/base/*/*.parquet"] if layer == "silver" else [f"{root}/*/*.parquet"]
