@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Sequence
+from collections.abc import Iterable, Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tidefold.schemas import Entity
+
 
 def include_tables(records: DataFrame, tables: Iterable[str], column: str = "topic") -> DataFrame:
     """Keep the records of the listed tables only."""
@@ -34,6 +36,50 @@ def envelope(
     ]
 
 
+def wire_row(entity: Entity, known: Mapping[str, Column]) -> Column:
+    """An entity row as it travels: money is a double, fields that are not given are NULL."""
+    fields = []
+    for name, dtype in entity.fields:
+        wire = "double" if dtype.startswith("DECIMAL") else dtype.lower()
+        fields.append(known.get(name, F.lit(None)).cast(wire).alias(name))
+    return F.struct(*fields)
+
+
+def change_records(changes: DataFrame, entity: Entity, topic: str) -> DataFrame:
+    """Row changes (``op``, entity columns, ``ts_ms``, ``offset``) as stream records.
+
+    An update carries its row on both sides; the previous values are not known.
+    """
+    row = wire_row(entity, {c: F.col(c) for c in entity.columns if c in changes.columns})
+    op = F.col("op")
+    return changes.select(
+        *envelope(
+            op,
+            F.when(op.isin("d", "u"), row),
+            F.when(op != "d", row),
+            F.col("ts_ms"),
+            F.col(entity.keys[0]) if len(entity.keys) == 1 else F.to_json(F.struct(*entity.keys)),
+            topic,
+            F.col("offset"),
+        )
+    )
+
+
+def snapshot_records(rows: DataFrame, entity: Entity, topic: str, ts_ms: Column, offset: Column | None = None) -> DataFrame:
+    """The initial load as stream records, so that RAW and SILVER both receive it.
+
+    Every key occurs once in a snapshot, so all rows may share one offset, which
+    lies before the first change.
+    """
+    start = rows.select(
+        F.lit("r").alias("op"),
+        "*",
+        ts_ms.cast("long").alias("ts_ms"),
+        (F.lit(-1) if offset is None else offset).cast("long").alias("offset"),
+    )
+    return change_records(start, entity, topic)
+
+
 def snapshot_envelope(rows: DataFrame, ts_ms: Column, offset: Column) -> DataFrame:
     """Existing rows as envelopes with ``op = r``, ready to be united with changes."""
     after = F.struct(*rows.columns)

@@ -17,6 +17,9 @@ from tidefold.sinks.silver import compact
 
 REPORT_DDL = "table_name STRING, step STRING, status STRING, items BIGINT, message STRING"
 
+# Our own bookkeeping that also grows by versions.
+CONTROL_TABLES = ("control.marks",)
+
 # Files younger than this may belong to a write that is still running.
 ORPHAN_AGE = datetime.timedelta(days=3)
 
@@ -127,7 +130,7 @@ def remove_orphans(
 def maintain(
     spark: SparkSession,
     layout: Layout,
-    tables: Iterable[str] = MAINTAINED_TABLES,
+    tables: Iterable[str] = MAINTAINED_TABLES + CONTROL_TABLES,
     retain_last: int = RETAIN_LAST,
     orphan_age: datetime.timedelta = ORPHAN_AGE,
     dry_run: bool = True,

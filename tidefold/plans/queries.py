@@ -118,7 +118,7 @@ def _order_records(spark: SparkSession, d: str, damaged: bool) -> DataFrame:
             "total_amount": F.col("o_totalprice"),
             "status": F.col("o_orderstatus"),
         }
-        return standins._row(SALES, known)
+        return capture.wire_row(SALES, known)
 
     moved = F.when(F.col("o_orderpriority") == "2-HIGH", -1 - F.col("o_orderkey")).otherwise(F.col("o_orderkey"))
     records = orders.select(

@@ -13,10 +13,11 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidefold.functions.scalars import epoch_ms
-from tidefold.operators.capture import envelope
+from tidefold.operators.capture import change_records, snapshot_records
 from tidefold.operators.state import latest_per_key, live
 from tidefold.schemas import CUSTOMERS, PRODUCTS, SALES_TRANSACTIONS, STORES, Entity
 from tidefold.session import fresh_dir
+from tidefold.sources.streams import topic_of
 from tidefold.sources.tables import read_table
 
 TOPIC_PREFIX = "retail.dbo"
@@ -210,59 +211,33 @@ def event_log(spark: SparkSession, directory: str) -> DataFrame:
     )
 
 
-def _row(entity: Entity, known: dict[str, Column]) -> Column:
-    """An entity row as it travels on the wire: money is a double, unknown fields are NULL."""
-    fields = []
-    for name, dtype in entity.fields:
-        wire = "double" if dtype.startswith("DECIMAL") else dtype.lower()
-        fields.append(known.get(name, F.lit(None)).cast(wire).alias(name))
-    return F.struct(*fields)
-
-
-def _record(entity: Entity, changes: DataFrame, columns: list[str]) -> DataFrame:
-    row = _row(entity, {c: F.col(c) for c in columns})
-    is_delete = F.col("op") == "d"
-    return changes.select(
-        *envelope(
-            F.col("op"),
-            F.when(is_delete | (F.col("op") == "u"), row),
-            F.when(~is_delete, row),
-            F.col("ts_ms"),
-            F.col(entity.keys[0]),
-            f"{TOPIC_PREFIX}.{entity.name}",
-            F.col("offset"),
-        )
-    )
+def _topic(entity: Entity) -> str:
+    return topic_of(entity.name, TOPIC_PREFIX)
 
 
 def sale_records(spark: SparkSession, directory: str) -> DataFrame:
     """The stream of sale changes as JSON envelopes."""
     changes = with_customer(spark, directory, sale_changes(spark, directory))
-    return _record(SALES, changes, [*SALE_COLUMNS, "customer_id"])
+    return change_records(changes, SALES, _topic(SALES))
 
 
 def customer_records(spark: SparkSession, directory: str) -> DataFrame:
     """The customer snapshot followed by the changes, as JSON envelopes."""
     snapshot = customers_snapshot(spark, directory)
-    start = snapshot.select(
-        F.lit("r").alias("op"), "*", F.lit(0).cast("long").alias("ts_ms"), F.lit(-1).cast("long").alias("offset")
-    )
     named = customer_events(spark, directory).join(snapshot.select("customer_id", "name"), "customer_id")
-    return _record(CUSTOMERS, start.unionByName(named), ["customer_id", "name", "loyalty_tier", "total_spend"])
+    return snapshot_records(snapshot, CUSTOMERS, _topic(CUSTOMERS), F.lit(0)).unionByName(
+        change_records(named, CUSTOMERS, _topic(CUSTOMERS))
+    )
 
 
 def product_records(spark: SparkSession, directory: str) -> DataFrame:
-    rows = products_snapshot(spark, directory).select(
-        F.lit("r").alias("op"), "*", F.lit(0).cast("long").alias("ts_ms"), F.col("product_id").cast("long").alias("offset")
-    )
-    return _record(PRODUCTS, rows, ["product_id", "name", "category", "brand", "unit_price", "is_active"])
+    rows = products_snapshot(spark, directory)
+    return snapshot_records(rows, PRODUCTS, _topic(PRODUCTS), F.lit(0), F.col("product_id"))
 
 
 def store_records(spark: SparkSession, directory: str) -> DataFrame:
-    rows = stores_snapshot(spark, directory).select(
-        F.lit("r").alias("op"), "*", F.lit(0).cast("long").alias("ts_ms"), F.col("store_id").cast("long").alias("offset")
-    )
-    return _record(STORES, rows, ["store_id", "name", "city", "region"])
+    rows = stores_snapshot(spark, directory)
+    return snapshot_records(rows, STORES, _topic(STORES), F.lit(0), F.col("store_id"))
 
 
 RECORDS = {
