@@ -84,7 +84,7 @@ def test_a_half_written_batch_is_not_read(spark, layout):
     commit_batch(spark, layout, SALES, changes, 0, F.current_timestamp())
     before = values(read_silver(spark, layout, SALES))
     rest = decode_changelog(records(spark, DOCUMENTS), SALES)
-    latest_per_key(rest, SALES.keys, ORDER).write.parquet(layout.delta(SALES.name, 1))
+    latest_per_key(rest, SALES.keys, ORDER).write.parquet(layout.delta(SALES.name, 1, "lost"))
     assert values(read_silver(spark, layout, SALES)) == before
 
 

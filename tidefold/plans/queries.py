@@ -39,9 +39,10 @@ def _at(text: str) -> Column:
 # --- sources ---------------------------------------------------------------
 
 
-def _stream(spark: SparkSession, d: str, table: str, batches: int = 3) -> DataFrame:
+def _stream(spark: SparkSession, d: str, table: str) -> DataFrame:
+    """A landed table as a stream: a few micro-batches, more once they would get large."""
     path, files = standins.land_table(spark, d, table)
-    return file_records(spark, path, max_files_per_trigger=ceil(files / batches))
+    return file_records(spark, path, max_files_per_trigger=min(ceil(files / 3), 1000))
 
 
 def cdc_scan(spark: SparkSession, d: str) -> DataFrame:

@@ -2,7 +2,8 @@
 
 Plain Parquet folders.  A writer first fills a folder of its own, then records
 it as a snapshot; readers follow the records, so a half-written folder is never
-read.  Both steps overwrite, so a repeated attempt changes nothing.
+read.  A repeated attempt replaces the record, and folders that no record names
+are left to the removal of orphan files.
 """
 
 from __future__ import annotations
@@ -27,8 +28,8 @@ class Layout:
     def deltas(self, table: str) -> str:
         return f"{self.root}/silver/{table}/delta"
 
-    def delta(self, table: str, batch_id: int) -> str:
-        return f"{self.deltas(table)}/batch_id={batch_id}"
+    def delta(self, table: str, batch_id: int, attempt: str) -> str:
+        return f"{self.deltas(table)}/{batch_id}-{attempt}"
 
     def base(self, table: str, snapshot_id: int) -> str:
         return f"{self.root}/silver/{table}/base/version={snapshot_id}"
