@@ -19,7 +19,7 @@ def spark():
         "local[4]",
         spark__ui__enabled="false",
         spark__ui__showConsoleProgress="false",
-        spark__sql__shuffle__partitions="4",
+        spark__sql__shuffle__partitions="2",
         spark__sql__maxMetadataStringLength="5000",
     )
     session.sparkContext.setLogLevel("ERROR")

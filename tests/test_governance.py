@@ -61,3 +61,11 @@ def test_serving_view_follows_the_newest_version(spark, layout, loyalty):
     publish_gold(spark, layout, "customer_loyalty", loyalty.limit(0))
     serving_view(spark, layout, "customer_loyalty", DDL)
     assert spark.sql("select count(*) from customer_loyalty").first()[0] == 0
+
+
+def test_serving_view_of_a_role(spark, layout, loyalty):
+    publish_gold(spark, layout, "customer_loyalty", loyalty)
+    serving_view(spark, layout, "customer_loyalty", DDL, role="analyst_readonly")
+    assert spark.sql("select customer_id, txn_count from customer_loyalty").count() == 1
+    with pytest.raises(AnalysisException):
+        spark.sql("select name from customer_loyalty")

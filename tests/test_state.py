@@ -24,7 +24,7 @@ def by_hand(changes):
     return sorted(((c[1], c[2]) for c in last.values() if c[0] != "d"), key=repr)
 
 
-@settings(max_examples=15, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])
+@settings(max_examples=8, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])
 @given(st.lists(change, max_size=25), st.randoms())
 def test_fold_equals_replay_in_any_row_order(spark, drawn, rnd):
     changes = [(*c, offset) for offset, c in enumerate(drawn)]
@@ -34,7 +34,7 @@ def test_fold_equals_replay_in_any_row_order(spark, drawn, rnd):
     assert values(current_state(df, ["k"], ORDER)) == by_hand(changes)
 
 
-@settings(max_examples=15, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])
+@settings(max_examples=8, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])
 @given(st.lists(change, min_size=1, max_size=25), st.data())
 def test_base_and_delta_equal_one_fold_whatever_arrived_first(spark, drawn, data):
     """Also when the base holds newer rows than the delta, and whichever join is chosen."""

@@ -8,7 +8,7 @@ from functools import reduce
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidefold.operators.sizing import BROADCAST_ROWS
+from tidefold.operators.sizing import BROADCAST_ROWS, has_at_most
 
 
 def latest_per_key(changes: DataFrame, keys: Sequence[str], order: Sequence[str]) -> DataFrame:
@@ -55,8 +55,9 @@ def apply_delta(
     newest = latest_per_key(delta, keys, order)
     changed = newest.select(*keys, *order)
     first = order[0]
-    size, timed, oldest = changed.agg(F.count(F.lit(1)), F.count(first), F.min(first)).first()
-    if size > max_broadcast_rows:
+    # The number of rows bounds the number of keys; keys are counted only beyond it.
+    size, timed, oldest = delta.agg(F.count(F.lit(1)), F.count(first), F.min(first)).first()
+    if size > max_broadcast_rows and not has_at_most(delta.select(*keys).distinct(), max_broadcast_rows):
         return latest_per_key(base.unionByName(delta.select(*columns)), keys, order)
 
     marks = changed.select(*[F.col(c).alias(f"_d_{c}") for c in changed.columns])

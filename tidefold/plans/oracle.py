@@ -240,6 +240,25 @@ ORACLE = {
     "orphans": """
         select 'file:///tables/part-' || o_orderkey as path, o_orderdate as modified_at from orders
         where not exists (select 1 from lineitem where l_orderkey = o_orderkey)""",
+    "maintenance_report": f"""with {_SALES},
+        visited as (
+          select * from (values ('raw'), ('silver')) l(layer),
+                        (values ('customers'), ('products'), ('sales_transactions'), ('stores')) t(name)
+          union all values ('gold', 'sales_summary'), ('gold', 'customer_loyalty'), ('control', 'marks')),
+        steps as (
+          select layer || '.' || name as table_name, step, layer from visited,
+                 (values ('compact'), ('expire_snapshots'), ('remove_orphan_files')) s(step)
+          where step <> 'compact' or layer = 'silver'),
+        kept as (
+          select 'silver.sales_transactions' as table_name, count(*) as rows_after from sales_transactions
+          union all
+          select 'gold.sales_summary', count(*) from ({_SUMMARY.format(source="sales_transactions", at=_FIRST)}))
+        select table_name, step,
+               case when layer = 'raw' and step = 'remove_orphan_files' then 'skipped' else 'done' end as status,
+               case when step = 'compact' and table_name = 'silver.sales_transactions' then 1
+                    when step = 'expire_snapshots' and table_name = 'gold.sales_summary' then 2 else 0 end as items,
+               rows_after
+        from steps left join kept using (table_name)""",
     "governed_loyalty": f"""with {_SALES}, {_CUSTOMERS}
         select * exclude (name, lifetime_spend) from (
           {_LOYALTY.format(customers="customers", sales="sales_transactions", at=_SECOND)})""",

@@ -463,7 +463,14 @@ def maintenance_report(spark: SparkSession, d: str) -> DataFrame:
     report = maintain(
         spark, layout, dry_run=False, orphan_age=datetime.timedelta(0), entities=standins.STANDIN_ENTITIES
     )
-    return report.select("table_name", "step", "status", "items")
+    readable_after = read_silver(spark, layout, SALES).agg(F.count(F.lit(1)).alias("rows_after")).select(
+        F.lit("silver.sales_transactions").alias("table_name"), "rows_after"
+    ).unionByName(
+        read_gold(spark, layout, "sales_summary", SALES_SUMMARY_DDL)
+        .agg(F.count(F.lit(1)).alias("rows_after"))
+        .select(F.lit("gold.sales_summary").alias("table_name"), "rows_after")
+    )
+    return report.select("table_name", "step", "status", "items").join(readable_after, "table_name", "left")
 
 
 # --- governance ------------------------------------------------------------

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tidefold.operators.governance import governed_view
 from tidefold.sinks.layout import Layout, newest, record_snapshot
 
 KIND = "version"
@@ -32,8 +33,15 @@ def publish_gold(
     return version
 
 
-def serving_view(spark: SparkSession, layout: Layout, table: str, ddl: str) -> DataFrame:
-    """Register the newest version under the table's name for SQL readers."""
+def serving_view(
+    spark: SparkSession, layout: Layout, table: str, ddl: str, role: str | None = None
+) -> DataFrame:
+    """Register the newest version under the table's name for SQL readers.
+
+    With a role, the columns that the role may not read are not part of the view.
+    """
     df = read_gold(spark, layout, table, ddl)
+    if role is not None:
+        df = governed_view(df, role, table)
     df.createOrReplaceTempView(table)
     return df
