@@ -5,7 +5,7 @@ from decimal import Decimal
 from itertools import combinations
 
 import pytest
-from conftest import values
+from conftest import plan_of, values
 from pyspark.sql import functions as F
 from records import document, records, row
 
@@ -125,6 +125,17 @@ def test_loyalty_counts_sales_of_every_status_and_keeps_customers_without(spark)
     assert values(found) == [(1, "a", "gold", 1.0, 2), (2, "b", None, None, 0)]
 
 
+def test_sales_are_counted_before_they_meet_the_customers(spark):
+    customers = spark.createDataFrame([(1,)], "customer_id INT").selectExpr("customer_id", "'n' name", "'t' loyalty_tier", "1.5 total_spend")
+    hot = spark.range(3000).selectExpr("id txn_id", "cast(if(id % 3 = 0, 1, id) as int) customer_id")
+    found = customer_loyalty(customers, hot)
+    lines = plan_of(found).splitlines()
+    join = next(i for i, line in enumerate(lines) if "Join" in line)
+    partial = next(i for i, line in enumerate(lines) if "partial_count" in line)
+    assert join < partial
+    assert found.first().txn_count == 1001
+
+
 def test_aggregates_over_nothing(spark, layout):
     empty = read_silver(spark, layout, SALES_TRANSACTIONS)
     assert sales_summary(empty).count() == 0

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidefold.operators.impact import MARKS_DDL, advanced_marks, dependents
-from tidefold.operators.merge import insert_if_absent, merge
+from tidefold.operators.merge import merge
 from tidefold.plans.gold import GOLD, customer_loyalty, sales_summary
 from tidefold.schemas import DEPENDENCY_GRAPH, ENTITIES, GRAPH_DDL, Entity
 from tidefold.sinks.gold import publish_gold, read_gold
@@ -27,9 +27,10 @@ def seed_graph(spark: SparkSession) -> DataFrame:
 def ensure_graph(spark: SparkSession, layout: Layout) -> DataFrame:
     """The stored dependency graph, created from the seed edges on first use."""
     stored = read_or_empty(spark, layout.graph, GRAPH_DDL)
-    missing = insert_if_absent(stored, seed_graph(spark), ["gold_table", "depends_on_silver_table"]).exceptAll(stored)
-    if not missing.isEmpty():
-        missing.coalesce(1).write.mode("append").parquet(layout.graph)
+    missing = seed_graph(spark).join(stored, ["gold_table", "depends_on_silver_table"], "left_anti")
+    if missing.isEmpty():
+        return stored
+    missing.coalesce(1).write.mode("append").parquet(layout.graph)
     return read_or_empty(spark, layout.graph, GRAPH_DDL)
 
 

@@ -80,10 +80,11 @@ def snapshots(spark: SparkSession, layout: Layout) -> DataFrame:
 
 def newest(spark: SparkSession, layout: Layout, table: str, kind: str) -> tuple[int, str] | None:
     """Id and path of the newest snapshot of a table."""
-    row = (
+    rows = (
         snapshots(spark, layout)
         .filter((F.col("table_name") == table) & (F.col("kind") == kind))
-        .agg(F.max(F.struct("snapshot_id", "path")).alias("s"))
-        .first()
+        .select("snapshot_id", "path")
+        .orderBy(F.desc("snapshot_id"))
+        .take(1)
     )
-    return None if row.s is None else (row.s.snapshot_id, row.s.path)
+    return (rows[0].snapshot_id, rows[0].path) if rows else None
