@@ -17,6 +17,14 @@ change = st.tuples(
 )
 
 
+def with_join(spark, limit):
+    """Keep Spark from broadcasting the small test frames on its own when the limit is 0."""
+    if limit:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    else:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+
+
 def by_hand(changes):
     last = {}
     for c in sorted(changes, key=lambda c: (c[3] is not None, c[3] or 0, c[4])):
@@ -43,16 +51,20 @@ def test_base_and_delta_equal_one_fold_whatever_arrived_first(spark, drawn, data
     base = latest_per_key(spark.createDataFrame([c for c, b in zip(changes, in_base) if b], DDL), ["k"], ORDER)
     delta = spark.createDataFrame([c for c, b in zip(changes, in_base) if not b], DDL)
     for limit in (1000, 0):
+        with_join(spark, limit)
         found = live(apply_delta(base, delta, ["k"], ORDER, max_broadcast_rows=limit)).select("k", "v")
         assert values(found) == by_hand(changes)
+    with_join(spark, 1000)
 
 
 def test_null_key_counts_as_one_key_on_both_paths(spark):
     base = spark.createDataFrame([("c", None, "old", 1, 0), ("c", 1, "kept", 1, 1)], DDL)
     delta = spark.createDataFrame([("u", None, "new", 2, 2)], DDL)
     for limit in (1000, 0):
+        with_join(spark, limit)
         found = apply_delta(base, delta, ["k"], ORDER, max_broadcast_rows=limit).select("k", "v")
         assert values(found) == [(1, "kept"), (None, "new")]
+    with_join(spark, 1000)
 
 
 def test_composite_keys(spark):
@@ -86,6 +98,23 @@ def test_small_delta_leaves_the_base_unshuffled_and_filters_reach_its_files(spar
     assert found.count() == 23
 
 
+def test_large_delta_shuffles_the_base_after_its_filters(spark, layout):
+    base_path = f"{layout.root}/base"
+    spark.createDataFrame([("c", i, "a" if i % 2 else "b", 1, i) for i in range(50)], DDL).write.parquet(base_path)
+    base = spark.read.schema(DDL).parquet(base_path)
+    delta = spark.createDataFrame([("u", 3, "z", 2, 100), ("d", 5, None, 2, 101)], DDL)
+    with_join(spark, 0)
+    try:
+        found = live(apply_delta(base, delta, ["k"], ORDER, max_broadcast_rows=0)).filter("v = 'a'").select("k", "v")
+        plan = plan_of(found)
+        rows = found.count()
+    finally:
+        with_join(spark, 1000)
+    assert "SortMergeJoin" in plan and "Broadcast" not in plan and "CartesianProduct" not in plan
+    assert any("FileScan parquet" in line and "EqualTo(v,a)" in line for line in plan.splitlines())
+    assert rows == 23
+
+
 @pytest.mark.parametrize("limit", [1000, 0])
 def test_empty_delta(spark, limit):
     base = spark.createDataFrame([("c", 1, "a", 1, 0)], DDL)

@@ -7,8 +7,8 @@ from pyspark.sql import functions as F
 
 from tidefold.session import ensure_checkpoint_dir
 
-# Callers pass narrow frames (keys and an order), so this is tens of megabytes.
-BROADCAST_ROWS = 500_000
+# Callers pass narrow frames (keys and an order): about 100 MB as a hash table.
+BROADCAST_ROWS = 1_000_000
 
 
 def has_at_most(df: DataFrame, rows: int) -> bool:

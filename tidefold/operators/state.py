@@ -45,11 +45,11 @@ def apply_delta(
 ) -> DataFrame:
     """State of a base (one row per key) after the changes in ``delta``.
 
-    A base is far larger than the changes since it was written.  When the
-    changed keys are proven few they are broadcast, and the base is only
-    scanned: it is neither shuffled nor sorted, and filters and column lists of
-    the caller reach its files.  Otherwise base and delta are folded together.
-    Both ways give the same rows.
+    A base is far larger than the changes since it was written, so it is joined
+    with the folded changes and never folded itself: filters and column lists of
+    the caller apply to its files, before any shuffle.  When the changed keys
+    are proven few they are broadcast and the base is only scanned; otherwise
+    the join shuffles it once.  Both ways give the same rows.
     """
     columns = base.columns
     newest = latest_per_key(delta, keys, order)
@@ -57,23 +57,25 @@ def apply_delta(
     first = order[0]
     # The number of rows bounds the number of keys; keys are counted only beyond it.
     size, timed, oldest = delta.agg(F.count(F.lit(1)), F.count(first), F.min(first)).first()
-    if size > max_broadcast_rows and not has_at_most(delta.select(*keys).distinct(), max_broadcast_rows):
-        return latest_per_key(base.unionByName(delta.select(*columns)), keys, order)
+    few = size <= max_broadcast_rows or has_at_most(delta.select(*keys).distinct(), max_broadcast_rows)
+
+    def side(df: DataFrame) -> DataFrame:
+        return F.broadcast(df) if few else df
 
     marks = changed.select(*[F.col(c).alias(f"_d_{c}") for c in changed.columns])
     same_key = reduce(lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(f"_d_{k}")) for k in keys])
     position = F.struct(*order)
     delta_position = F.struct(*[F.col(f"_d_{c}") for c in order])
 
-    untouched = base.join(F.broadcast(marks), same_key & (delta_position >= position), "left_anti")
+    untouched = base.join(side(marks), same_key & (delta_position >= position), "left_anti")
     # Changes that arrived late: the base already holds a newer row for the key.
     # Only base rows at least as new as the oldest change can be such rows, and
     # file statistics rule out nearly all of the base by that bound.
     recent = base.select(*keys, *order)
     if timed == size and oldest is not None:
         recent = recent.filter(F.col(first) >= F.lit(oldest))
-    late = recent.join(F.broadcast(marks), same_key & (delta_position < position), "left_semi").select(
+    late = recent.join(side(marks), same_key & (delta_position < position), "left_semi").select(
         *[F.col(k).alias(f"_d_{k}") for k in keys]
     )
-    applied = newest.join(F.broadcast(late), same_key, "left_anti")
+    applied = newest.join(side(late), same_key, "left_anti")
     return untouched.unionByName(applied.select(*columns))
