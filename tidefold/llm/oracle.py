@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from tidefold.llm.linededup import MIN_SITES
 from tidefold.llm.quality import RULES, STOP_WORDS
 
 _STOPS = ", ".join(f"'{w}'" for w in STOP_WORDS)
@@ -36,3 +37,27 @@ select doc_id, n_words::bigint as n_words, word_chars::bigint as word_chars, n_s
         and case when n_lines > 0 then n_dup_lines / n_lines::double else 0 end <= {RULES["dup_line_share"].most} as kept
 from based
 """
+
+LINE_DEDUP = rf"""
+with parts as (
+    select doc_id, source, unnest(string_split(text, chr(10))) as line,
+        unnest(range(len(string_split(text, chr(10))))) as pos
+    from documents where text is not null
+),
+keyed as (select *, trim(line, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) as k from parts),
+wide as (
+    select k, min(doc_id) as first from keyed where k <> '' group by k
+    having count(distinct source) + max(case when source is null then 1 else 0 end) >= {MIN_SITES}
+),
+judged as (
+    select d.doc_id, d.pos, d.line, w.k is not null and d.doc_id <> w.first as gone
+    from keyed d left join wide w on d.k = w.k
+),
+rebuilt as (
+    select doc_id, coalesce(string_agg(line, chr(10) order by pos) filter (not gone), '') as text,
+        count(*) filter (gone) as removed_lines
+    from judged group by doc_id
+)
+select d.doc_id, r.text, coalesce(r.removed_lines, 0)::bigint as removed_lines
+from documents d left join rebuilt r on d.doc_id = r.doc_id
+"""

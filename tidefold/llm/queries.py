@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from tidefold.llm import oracle
 from tidefold.llm.langid import fit, identify
+from tidefold.llm.linededup import remove_widespread_lines
 from tidefold.llm.packing import pack
 from tidefold.llm.quality import quality_rules
 from tidefold.llm.simhash import near_duplicates
@@ -27,6 +28,10 @@ def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.withColumn("ids_crc32", F.crc32("ids")).drop("ids")
 
 
+def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return remove_widespread_lines(_table(spark, sf_dir, "documents")).select("doc_id", "text", "removed_lines")
+
+
 def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
     held_out = F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 == 0, F.lit(False))
@@ -42,10 +47,12 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_simhash": op2_simhash,
     "op5_packing": op5_packing,
+    "op6_line_dedup": op6_line_dedup,
     "op9_language_id": op9_language_id,
     "op10_quality_rules": op10_quality_rules,
 }
 
 ORACLE: dict[str, str] = {
+    "op6_line_dedup": oracle.LINE_DEDUP,
     "op10_quality_rules": oracle.QUALITY_RULES,
 }
