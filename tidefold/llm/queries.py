@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from tidefold.llm import oracle
 from tidefold.llm.langid import fit, identify
 from tidefold.llm.linededup import remove_widespread_lines
+from tidefold.llm.mixing import mix
 from tidefold.llm.packing import pack
 from tidefold.llm.quality import quality_rules
 from tidefold.llm.simhash import near_duplicates
@@ -19,6 +20,10 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mix(_table(spark, sf_dir, "documents")).drop("rate")
+
+
 def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(_table(spark, sf_dir, "documents"))
 
@@ -45,6 +50,7 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_mixing": op1_mixing,
     "op2_simhash": op2_simhash,
     "op5_packing": op5_packing,
     "op6_line_dedup": op6_line_dedup,
