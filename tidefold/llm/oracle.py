@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from tidefold.llm.chat import CLOSE, OPEN, TRAINED_ROLE
 from tidefold.llm.linededup import MIN_SITES
 from tidefold.llm.quality import RULES, STOP_WORDS
 
@@ -61,3 +62,43 @@ rebuilt as (
 select d.doc_id, r.text, coalesce(r.removed_lines, 0)::bigint as removed_lines
 from documents d left join rebuilt r on d.doc_id = r.doc_id
 """
+
+_HEAD = f"'{OPEN}' || coalesce(t.role, '') || chr(10)"
+_BODY = f"coalesce(t.text, '') || '{CLOSE.strip()}' || chr(10)"
+
+
+def _text(turns: str) -> str:
+    return f"array_to_string(list_transform({turns}, lambda t: {_HEAD} || {_BODY}), '')"
+
+
+def _mask(turns: str) -> str:
+    flag = f"case when t.role = '{TRAINED_ROLE}' then '1:' else '0:' end"
+    run = f"'0:' || length({_HEAD}) || ' ' || {flag} || length({_BODY})"
+    return f"array_to_string(list_transform({turns}, lambda t: {run}), ' ')"
+
+
+CHAT_FORMAT = f"""
+with marked as (
+    select *, row_number() over (partition by conv_id order by turn nulls first, role nulls first, text nulls first) as k,
+        role is not distinct from '{TRAINED_ROLE}' as answer
+    from conversations
+),
+lasts as (select conv_id, max(k) filter (answer) as last from marked group by conv_id),
+worse as (
+    select m.*, l.last,
+        (select b.text from marked b where b.conv_id = m.conv_id and b.answer and b.k < l.last order by b.k desc limit 1)
+            as earlier
+    from marked m join lasts l on m.conv_id = l.conv_id
+),
+gathered as (
+    select conv_id, list(struct_pack(role := role, text := text) order by k) as a,
+        list(struct_pack(role := role, text := case when k = last then coalesce(earlier, '') else text end) order by k) as b,
+        min(k) filter (k = last and coalesce(earlier, '') is distinct from text) as differs
+    from worse group by conv_id
+),
+cut as (select conv_id as pair_id, a, b, coalesce(differs - 1, len(a)) as common from gathered)
+select pair_id, common::bigint as prompt_turns, {_text("a[1 : common]")} as prompt,
+    {_text("a[common + 1 :]")} as chosen, {_text("b[common + 1 :]")} as rejected,
+    {_mask("a[common + 1 :]")} as chosen_mask, {_mask("b[common + 1 :]")} as rejected_mask
+from cut
+"""

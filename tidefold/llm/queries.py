@@ -8,12 +8,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidefold.llm import oracle
+from tidefold.llm.chat import conversations, format_pairs, weakened
 from tidefold.llm.langid import fit, identify
 from tidefold.llm.linededup import remove_widespread_lines
 from tidefold.llm.mixing import mix
 from tidefold.llm.packing import pack
 from tidefold.llm.quality import quality_rules
 from tidefold.llm.simhash import near_duplicates
+from tidefold.llm.tokencount import token_counts
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -37,6 +39,20 @@ def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return remove_widespread_lines(_table(spark, sf_dir, "documents")).select("doc_id", "text", "removed_lines")
 
 
+def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    counted = token_counts(_table(spark, sf_dir, "documents"))
+    return counted.withColumn("tokens", F.col("tokens").cast("long"))
+
+
+def op8_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Masks as text: a flag and a length for each segment."""
+    found = format_pairs(weakened(conversations(_table(spark, sf_dir, "conversations"))))
+    runs = lambda c: F.array_join(
+        F.transform(c, lambda s: F.concat(s["train"].cast("int").cast("string"), F.lit(":"), s["chars"].cast("string"))), " "
+    )
+    return found.withColumns({c: runs(c) for c in ("chosen_mask", "rejected_mask")})
+
+
 def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
     held_out = F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 == 0, F.lit(False))
@@ -54,11 +70,14 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_simhash": op2_simhash,
     "op5_packing": op5_packing,
     "op6_line_dedup": op6_line_dedup,
+    "op7_token_counts": op7_token_counts,
+    "op8_chat_format": op8_chat_format,
     "op9_language_id": op9_language_id,
     "op10_quality_rules": op10_quality_rules,
 }
 
 ORACLE: dict[str, str] = {
     "op6_line_dedup": oracle.LINE_DEDUP,
+    "op8_chat_format": oracle.CHAT_FORMAT,
     "op10_quality_rules": oracle.QUALITY_RULES,
 }
