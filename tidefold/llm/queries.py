@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidefold.llm import oracle
+from tidefold.llm.ann import nearest
 from tidefold.llm.chat import conversations, format_pairs, weakened
 from tidefold.llm.langid import fit, identify
 from tidefold.llm.linededup import remove_widespread_lines
@@ -35,6 +36,10 @@ def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.withColumn("ids_crc32", F.crc32("ids")).drop("ids")
 
 
+def op3_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return nearest(_table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0)
+
+
 def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return remove_widespread_lines(_table(spark, sf_dir, "documents")).select("doc_id", "text", "removed_lines")
 
@@ -69,6 +74,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_mixing": op1_mixing,
     "op2_simhash": op2_simhash,
     "op5_packing": op5_packing,
+    "op3_nearest": op3_nearest,
     "op6_line_dedup": op6_line_dedup,
     "op7_token_counts": op7_token_counts,
     "op8_chat_format": op8_chat_format,
