@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from tidefold.llm.chat import CLOSE, OPEN, TRAINED_ROLE
+from tidefold.llm.licenses import LEAST, NO_WORD, TEMPLATES
 from tidefold.llm.linededup import MIN_SITES
 from tidefold.llm.quality import RULES, STOP_WORDS
 
@@ -15,10 +16,14 @@ with d as (
         list_filter(string_split(coalesce(text, ''), chr(10)), lambda x: regexp_matches(x, '{_WORD}')) as ls
     from documents
 ),
-windows as (select doc_id, unnest(range(1, len(w) - 6)) as i, w from d where len(w) >= 8),
+placed as (select doc_id, unnest(w) as word, unnest(range(len(w))) as i from d),
+windows as (
+    select doc_id, i, concat_ws(' ', {", ".join(f"lead(word, {k}) over follow" for k in range(8))}) as seen
+    from placed window follow as (partition by doc_id order by i)
+    qualify lead(word, 7) over follow is not null
+),
 found as (
-    select doc_id, i from (select doc_id, i, count(*) over (partition by doc_id, w[i : i + 7]) as n from windows)
-    where n > 1
+    select doc_id, i from (select doc_id, i, count(*) over (partition by doc_id, seen) as n from windows) where n > 1
 ),
 repeated as (select doc_id, count(distinct i + j) as n from found, range(8) t(j) group by doc_id),
 counts as (
@@ -102,3 +107,28 @@ select pair_id, common::bigint as prompt_turns, {_text("a[1 : common]")} as prom
     {_mask("a[common + 1 :]")} as chosen_mask, {_mask("b[common + 1 :]")} as rejected_mask
 from cut
 """
+
+LICENSES = rf"""
+with t(license_id, body) as (values {", ".join("('" + n + "', '" + b.replace("'", "''") + "')" for n, b in TEMPLATES.items())}),
+texts as (
+    select 0 as side, null as doc_id, license_id, body from t
+    union all select 1, doc_id, null, coalesce(text, '') from documents
+),
+placed as (
+    select side, doc_id, license_id, unnest(w) as word, unnest(range(len(w))) as i
+    from (select *, list_filter(string_split_regex(lower(body), '{NO_WORD}'), lambda x: x <> '') as w from texts)
+),
+shingled as (
+    select side, doc_id, license_id, i, concat_ws(' ', {", ".join(f"lead(word, {k}) over follow" for k in range(5))}) as s
+    from placed window follow as (partition by side, doc_id, license_id order by i)
+    qualify lead(word, 4) over follow is not null
+),
+wanted as (select distinct license_id, s from shingled where side = 0),
+sizes as (select license_id, count(*) as n from wanted group by license_id),
+met as (
+    select d.doc_id, w.license_id, count(distinct w.s) as shared, min(d.i) as first_word
+    from shingled d join wanted w on d.s = w.s where d.side = 1 group by d.doc_id, w.license_id
+)
+select doc_id, license_id, shared::bigint as shared, shared / n::double as containment, first_word::bigint as first_word
+from met join sizes using (license_id) where shared / n::double >= {LEAST}
+"""

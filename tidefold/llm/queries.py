@@ -11,6 +11,7 @@ from tidefold.llm import oracle
 from tidefold.llm.ann import nearest
 from tidefold.llm.chat import conversations, format_pairs, weakened
 from tidefold.llm.langid import fit, identify
+from tidefold.llm.licenses import scan_licenses
 from tidefold.llm.linededup import remove_widespread_lines
 from tidefold.llm.mixing import mix
 from tidefold.llm.packing import pack
@@ -40,6 +41,10 @@ def op3_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return nearest(_table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0)
 
 
+def op4_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scan_licenses(_table(spark, sf_dir, "documents"))
+
+
 def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return remove_widespread_lines(_table(spark, sf_dir, "documents")).select("doc_id", "text", "removed_lines")
 
@@ -75,6 +80,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_simhash": op2_simhash,
     "op5_packing": op5_packing,
     "op3_nearest": op3_nearest,
+    "op4_licenses": op4_licenses,
     "op6_line_dedup": op6_line_dedup,
     "op7_token_counts": op7_token_counts,
     "op8_chat_format": op8_chat_format,
@@ -83,6 +89,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 }
 
 ORACLE: dict[str, str] = {
+    "op4_licenses": oracle.LICENSES,
     "op6_line_dedup": oracle.LINE_DEDUP,
     "op8_chat_format": oracle.CHAT_FORMAT,
     "op10_quality_rules": oracle.QUALITY_RULES,
