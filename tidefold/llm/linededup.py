@@ -41,7 +41,8 @@ def widespread(occurrences: DataFrame, min_sites: int) -> DataFrame:
     )
     sure = judged.filter(F.col("n") > min_sites + margin).select("key")
     near = judged.filter(F.col("n") <= min_sites + margin).select("key")
-    pairs = occurrences.join(near, "key", "left_semi").select("key", "site").distinct()
+    # Reduced below the shuffle before the join, which a frequent line would otherwise bring to one task.
+    pairs = occurrences.select("key", "site").distinct().join(near, "key", "left_semi")
     exact = pairs.groupBy("key").agg(F.count("*").alias("n")).filter(F.col("n") >= min_sites).select("key")
     return sure.unionByName(exact)
 
