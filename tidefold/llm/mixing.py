@@ -18,7 +18,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidefold.llm.common import missing, settled, words_of
+from tidefold.llm.common import matched, missing, settled, words_of
 
 WEIGHTS = (3, 1, 2)
 SHARE_PERCENT = 150
@@ -138,7 +138,7 @@ def mix(
     percent: int = SHARE_PERCENT,
 ) -> DataFrame:
     """How often each document enters the mix: ``doc_id``, ``source``, ``size``, ``source_size``, ``target``, ``rate``,
-    ``copies`` and ``taken`` (words, repeats counted).
+    ``copies``, ``taken`` (words, repeats counted) and ``mark``, a hash of the text.
 
     Sizes count words. Rates come from entropy balancing; they are rounded to whole copies, at most MOST_COPIES, so
     that each source's words come to within about the smallest of its documents of the target. Which documents of one
@@ -155,7 +155,7 @@ def mix(
     name = F.col("source")
     rows = docs.select(
         F.col(doc_id).cast("long").alias("doc_id"), F.col(source).cast("string").alias("source"),
-        F.size(words_of(F.col(text))).cast("long").alias("size"),
+        F.size(words_of(F.col(text))).cast("long").alias("size"), F.xxhash64(F.col(text)).alias("mark"),
     )
     # One key that is never NULL: the source behind a letter.
     key = F.when(name.isNull(), F.lit("0")).otherwise(F.concat(F.lit("1"), name))
@@ -196,5 +196,16 @@ def mix(
     count = (F.col("low") + (F.col("rank") <= F.col("lucky")).cast("long")).cast("long")
     return found.select(
         "doc_id", "source", "size", "source_size", "target", "rate", count.alias("copies"),
-        (count * F.col("size")).alias("taken"),
+        (count * F.col("size")).alias("taken"), "mark",
     )
+
+
+def mixed(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str = "source", **options) -> DataFrame:
+    """The documents of the mix, with all their columns, each as often as it is taken (see ``mix``).
+
+    Repeated rows come as often as all of them together are taken.
+    """
+    taken = mix(docs, doc_id, text, source, **options)
+    counts = taken.groupBy(F.col("doc_id").alias("id"), "mark").agg(F.sum("copies").cast("int").alias("copies"))
+    found = matched(docs, counts.filter("copies > 0"), doc_id, text)
+    return found.select("row", F.explode(F.sequence(F.lit(1), F.col("copies")))).select("row.*")

@@ -25,7 +25,7 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def op1_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mix(_table(spark, sf_dir, "documents")).drop("rate")
+    return mix(_table(spark, sf_dir, "documents")).drop("rate", "mark")
 
 
 def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -21,7 +21,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidefold.llm.common import missing, settled
+from tidefold.llm.common import matched, missing, settled
 from tidefold.llm.components import components
 
 SHINGLE = 3
@@ -52,15 +52,18 @@ def fingerprint(text: bytes | None, width: int = SHINGLE) -> int:
 
 
 def fingerprints(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", width: int = SHINGLE) -> DataFrame:
-    """``doc_id`` and ``fp`` of every row, computed where the row is read."""
+    """``doc_id``, ``mark`` (a hash of the text) and ``fp`` of every row, computed where the row is read."""
 
     def compute(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            fps = pa.array([fingerprint(t.as_py(), width) for t in batch.column(1)], pa.int64())
-            yield pa.RecordBatch.from_arrays([batch.column(0), fps], ["doc_id", "fp"])
+            fps = pa.array([fingerprint(t.as_py(), width) for t in batch.column(2)], pa.int64())
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), fps], ["doc_id", "mark", "fp"])
 
-    rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("binary").alias("text"))
-    return rows.mapInArrow(compute, "doc_id long, fp long")
+    rows = docs.select(
+        F.col(doc_id).cast("long").alias("doc_id"), F.xxhash64(F.col(text)).alias("mark"),
+        F.col(text).cast("binary").alias("text"),
+    )
+    return rows.mapInArrow(compute, "doc_id long, mark long, fp long")
 
 
 def _byte(fp: Column, position: int) -> Column:
@@ -123,6 +126,14 @@ def links(fps: DataFrame) -> DataFrame:
     return verified.unionByName(_by_neighbours(crowded))
 
 
+def _grouped(rows: DataFrame) -> DataFrame:
+    """The distinct fingerprints of ``rows`` with the ``root`` of their group and the ``least`` id that has them."""
+    distinct = rows.groupBy("fp").agg(F.min("doc_id").alias("least"))
+    roots = components(links(distinct.select("fp")))
+    placed = distinct.join(roots, distinct.fp == roots.id, "left")
+    return placed.select("fp", "least", F.coalesce("root", "fp").alias("root"))
+
+
 def near_duplicates(
     docs: DataFrame, doc_id: str = "doc_id", text: str = "text", width: int = SHINGLE
 ) -> DataFrame:
@@ -139,12 +150,23 @@ def near_duplicates(
     """
     missing(docs, doc_id, text)
     rows = settled(fingerprints(docs, doc_id, text, width))
-    distinct = rows.groupBy("fp").agg(F.min("doc_id").alias("least"))
-    roots = components(links(distinct.select("fp")))
-    placed = distinct.join(roots, distinct.fp == roots.id, "left")
-    placed = placed.select("fp", "least", F.coalesce("root", "fp").alias("root"))
+    placed = _grouped(rows)
     groups = placed.groupBy("root").agg(F.min("least").alias("component_id"))
     named = placed.join(groups, "root").select("fp", "component_id")
     return rows.join(named, "fp").select(
         "doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id"
     )
+
+
+def keep_first(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", width: int = SHINGLE) -> DataFrame:
+    """One document of each group of near-duplicates: the one with the smallest id, with all its columns.
+
+    A NULL id comes last; of several texts with the smallest id one stays, chosen by a hash. Repeated rows are
+    duplicates, too: one of them stays. Documents without words are one group. Otherwise as ``near_duplicates``.
+    """
+    missing(docs, doc_id, text)
+    rows = settled(fingerprints(docs, doc_id, text, width))
+    order = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "mark")
+    chosen = rows.join(_grouped(rows).select("fp", "root"), "fp").groupBy("root").agg(F.min(order).alias("k"))
+    chosen = chosen.select(F.col("k.doc_id").alias("id"), F.col("k.mark").alias("mark"))
+    return matched(docs, chosen, doc_id, text).select("row.*")
