@@ -209,7 +209,7 @@ def _scanned(placed: DataFrame, probing: DataFrame, sent, k: int) -> DataFrame:
     keys = ["list", "v", "q"]
 
     def meet(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        empty = pd.DataFrame({"vector": [], "vec_id": np.zeros(0, np.int64), "score": np.zeros(0)})
+        empty = pd.DataFrame({"vector": np.zeros(0, object), "vec_id": np.zeros(0, np.int64), "score": np.zeros(0)})
         if not len(left) or not len(right):
             return empty
         held = np.stack(left["vector"].to_numpy())
