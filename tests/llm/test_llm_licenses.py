@@ -1,0 +1,69 @@
+from __future__ import annotations
+
+import re
+from collections import Counter
+
+from llm_data import awkward_rows, frame, prose
+
+from tidefold.llm import licenses
+from tidefold.llm.licenses import LEAST, TEMPLATES, scan_licenses, shingles, template_keys
+
+
+def brute(rows, templates):
+    out = []
+    for i, text, *_ in rows:
+        words = [w for w in re.split(r"[\W_]+", (text or "").lower()) if w]
+        own = [" ".join(words[k : k + 5]) for k in range(len(words) - 4)]
+        for name, body in templates.items():
+            wanted = shingles(body)
+            shared = len(set(wanted) & set(own))
+            if shared >= LEAST * len(wanted):
+                first = next(k for k, s in enumerate(own) if s in set(wanted))
+                out.append((i, name, shared, shared / len(wanted), first))
+    return sorted(out, key=repr)
+
+
+def corpus():
+    rows = awkward_rows()
+    number = 1000
+    for name, body in TEMPLATES.items():
+        words = body.split()
+        for shift in range(5):  # every phase of the windows
+            rows.append((number, prose(number, 11 + shift) + "\n" + body + "\n" + prose(number + 1, 9), "en", "a"))
+            number += 1
+        changed = words[: len(words) // 2] + ["changed"] + words[len(words) // 2 + 1 :]
+        rows.append((number, " ".join(changed) + " " + body.upper().replace(" ", " ** ") * (number % 2), "en", "a"))
+        rows.append((number + 1, " ".join(words[:-1]), "en", "a"))
+        rows.append((number + 2, " ".join(words[: len(words) // 2]), "en", "a"))
+        number += 3
+    rows.append((number, prose(7, 20_000) + " " + TEMPLATES["MIT-grant"] * 300, "en", "a"))
+    return rows
+
+
+def test_against_brute_force(spark):
+    rows = corpus()
+    found = sorted((tuple(r) for r in scan_licenses(frame(spark, rows)).collect()), key=repr)
+    assert found == brute(rows, TEMPLATES)
+    assert {name for _, name, *_ in found} == set(TEMPLATES)
+
+
+def test_templates_in_several_passes(spark, monkeypatch):
+    rows = corpus()
+    monkeypatch.setattr(licenses, "KEYS_AT_ONCE", 50)
+    found = sorted((tuple(r) for r in scan_licenses(frame(spark, rows)).collect()), key=repr)
+    assert found == brute(rows, TEMPLATES)
+
+
+def test_native_and_without_shuffle(spark):
+    plan = scan_licenses(frame(spark, corpus()))._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan and "Python" not in plan and "Arrow" not in plan
+
+
+def test_keys_differ_between_templates():
+    seen = Counter(k for n, t in TEMPLATES.items() if len(shingles(t)) >= licenses.SHORT for k in template_keys(t))
+    assert len(seen) > 300
+
+
+def test_empty(spark):
+    assert scan_licenses(frame(spark, [])).count() == 0
+    assert scan_licenses(frame(spark, corpus()), templates={}).count() == 0

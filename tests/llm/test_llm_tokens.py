@@ -1,0 +1,80 @@
+from __future__ import annotations
+
+from collections import defaultdict
+
+import numpy as np
+import pytest
+from llm_data import awkward_rows, frame
+from pyspark.sql import functions as F
+from tokenizers import Tokenizer
+
+from tidefold.llm.bpe import default_path
+from tidefold.llm.tokencount import attribute, line_spans, token_counts
+
+
+def brute(text, rule):
+    """Tokens of each line, character by character, from the library's own offsets."""
+    line = np.cumsum([0, *(c == "\n" for c in text)])
+    counts = defaultdict(float)
+    for a, b in Tokenizer.from_file(default_path()).encode(text, add_special_tokens=False).offsets:
+        owners = [int(line[i]) for i in range(a, b)]
+        if rule == "first":
+            counts[owners[0]] += 1
+        elif rule == "last":
+            counts[owners[-1]] += 1
+        elif rule == "most":
+            counts[max(sorted(set(owners)), key=owners.count)] += 1
+        else:
+            for o in owners:
+                counts[o] += 1 / len(owners)
+    return dict(counts)
+
+
+@pytest.mark.parametrize("rule", ["first", "last", "most", "split"])
+def test_lines(spark, rule):
+    texts = ["one two\nthree  \n\n\n  four five\n", "a\n\n\nb", "\n\n", "é漢 😀\n 😀😀 x\n", "plain"]
+    rows = [(k, t, "en", "a") for k, t in enumerate(texts)]
+    found = defaultdict(dict)
+    for r in token_counts(frame(spark, rows), rule=rule).collect():
+        found[r.doc_id][r.section] = r.tokens
+    for k, t in enumerate(texts):
+        wanted = brute(t, rule)
+        assert found[k] == pytest.approx({s: wanted.get(s, 0.0) for s in range(len(line_spans(t)))})
+
+
+def test_awkward_texts_add_up(spark):
+    rows = awkward_rows()
+    total = defaultdict(float)
+    for r in token_counts(frame(spark, rows)).collect():
+        total[r.doc_id] += r.tokens
+        assert r.section is None or r.start < r.end
+    reference = Tokenizer.from_file(default_path())
+    wanted = defaultdict(int)
+    for i, t, *_ in rows:
+        wanted[i] += len(reference.encode(t or "", add_special_tokens=False).ids)
+    assert total == wanted
+
+
+def test_given_spans(spark):
+    docs = frame(spark, [(1, "one two three", "en", "a"), (2, "x", "en", "a"), (3, None, "en", "a")])
+    spans = F.expr("if(doc_id = 1, array(named_struct('start', 0L, 'end', 3L), named_struct('start', 8L, 'end', 13L)), null)")
+    found = sorted((tuple(r) for r in token_counts(docs.withColumn("spans", spans), spans="spans").collect()), key=repr)
+    assert found == sorted(
+        [(1, 0, 0, 3, 1.0, 3), (1, 1, 8, 13, 1.0, 3), (1, None, None, None, 1.0, 3),
+         (2, None, None, None, 1.0, 1), (3, None, None, None, 0.0, 0)], key=repr
+    )
+    with pytest.raises(ValueError):
+        token_counts(docs, rule="nonsense")
+
+
+def test_attribute_by_hand():
+    spans = np.array([[0, 4], [4, 5], [5, 9]])
+    first, last = np.array([0, 3, 9]), np.array([2, 6, 9])
+    assert attribute(first, last, spans, "first").tolist() == [2, 0, 0, 1]
+    assert attribute(first, last, spans, "last").tolist() == [1, 0, 1, 1]
+    assert attribute(first, last, spans, "most").tolist() == [1, 0, 1, 1]
+    assert attribute(first, last, spans, "split").tolist() == [1.25, 0.25, 0.5, 1]
+
+
+def test_empty_table(spark):
+    assert token_counts(frame(spark, [])).count() == 0
