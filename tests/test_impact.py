@@ -14,7 +14,7 @@ from tidefold.operators.envelope import decode_changelog
 from tidefold.operators.impact import EPOCH, advanced_marks, impacted, next_watermark
 from tidefold.plans.gold import customer_loyalty, sales_summary
 from tidefold.plans.refresh import ensure_graph, refresh, seed_graph, stored_marks
-from tidefold.schemas import CHANGE_LOG_DDL, CUSTOMERS, DEPENDENCY_GRAPH, ENTITIES, SALES_TRANSACTIONS
+from tidefold.schemas import CHANGE_LOG_DDL, CUSTOMERS, DEPENDENCY_GRAPH, ENTITIES, GRAPH_DDL, SALES_TRANSACTIONS
 from tidefold.sinks.gold import read_gold
 from tidefold.sinks.layout import snapshots
 from tidefold.sinks.silver import commit_batch, read_silver
@@ -58,10 +58,45 @@ def test_watermark_is_the_newest_row_read(spark):
     assert next_watermark(log, at(40)).select(F.unix_seconds("watermark")).first()[0] == 40
 
 
-def test_marks_per_table_see_a_batch_that_became_visible_late(spark):
-    marks = {"customers": 30_000_000}
-    log = log_of(spark, ("customers", 30), ("stores", 20))
-    assert values(advanced_marks(log, marks)) == [("stores", 20_000_000)]
+def test_marks_are_batches_of_a_table(spark):
+    rows = [("customers", 3, "1"), ("customers", 4, "1"), ("stores", 0, "2"), ("products", 7, "2")]
+    log = spark.createDataFrame(rows, "table_name STRING, snapshot_id BIGINT, affected_keys STRING")
+    found = advanced_marks(log, {"customers": 3, "products": 7})
+    assert values(found) == [("customers", 4), ("stores", 0)]
+    assert advanced_marks(log, {"customers": 9, "stores": 0, "products": 7}).count() == 0
+
+
+def test_a_batch_committed_by_a_slow_clock_is_seen(spark, layout):
+    commit(spark, layout, CUSTOMERS, 0, [{"customer_id": 1}], 20)
+    assert refresh(spark, layout) == ["gold.customer_loyalty"]
+    commit(spark, layout, CUSTOMERS, 1, [{"customer_id": 2}], 10)  # its driver's clock is behind
+    assert refresh(spark, layout) == ["gold.customer_loyalty"]
+    assert len(gold_rows(spark, layout, "customer_loyalty")) == 2
+
+
+def test_a_tick_within_a_commit_loses_nothing(spark, layout, monkeypatch):
+    from tidefold.sinks import silver as module
+
+    record, ticks = module.record_snapshot, []
+
+    def tick_first(*args):
+        ticks.append(refresh(spark, layout))
+        record(*args)
+
+    monkeypatch.setattr(module, "record_snapshot", tick_first)
+    commit(spark, layout, CUSTOMERS, 0, [{"customer_id": 1}], 10)
+    assert ticks == [[]]
+    assert refresh(spark, layout) == ["gold.customer_loyalty"]
+    assert len(gold_rows(spark, layout, "customer_loyalty")) == 1
+
+
+def test_an_edge_without_a_builder_does_not_stop_the_tick(spark, layout):
+    ensure_graph(spark, layout)
+    spark.createDataFrame([("gold.unknown", "customers")], GRAPH_DDL).write.mode("append").parquet(layout.graph)
+    commit(spark, layout, CUSTOMERS, 0, [{"customer_id": 1}], 10)
+    with pytest.warns(UserWarning, match="gold.unknown"):
+        assert refresh(spark, layout) == ["gold.customer_loyalty"]
+    assert stored_marks(spark, layout) == {"customers": 0}
 
 
 def test_graph_is_seeded_once(spark, layout):

@@ -3,6 +3,7 @@ from __future__ import annotations
 import pytest
 from conftest import values
 from pyspark.sql import functions as F
+from records import records
 
 from tidefold.jobs import main
 from tidefold.operators.capture import change_records, snapshot_records
@@ -18,13 +19,13 @@ from tidefold.sources.tables import jdbc_table
 def test_all_jobs_from_landing_to_aggregate(spark, layout, capsys):
     inbox = f"{layout.root}/inbox"
     people = spark.createDataFrame([(1, "ann"), (2, "bob")], "customer_id INT, name STRING")
-    write_records(snapshot_records(people, CUSTOMERS, "p.customers", F.lit(0)), path=inbox)
+    write_records(snapshot_records(people, CUSTOMERS, "p.customers", F.lit(0)), path=f"{inbox}/p.customers")
     sales = spark.createDataFrame(
         [("c", 1, 7, 8, 1, 2, 1.5, "completed", 5, 0), ("d", 2, 7, 8, 1, 2, 1.5, "completed", 6, 1)],
         "op STRING, txn_id INT, store_id INT, product_id INT, customer_id INT, qty INT, total_amount DOUBLE,"
         " status STRING, ts_ms BIGINT, offset BIGINT",
     )
-    write_records(change_records(sales, SALES_TRANSACTIONS, "p.sales_transactions"), path=inbox)
+    write_records(change_records(sales, SALES_TRANSACTIONS, "p.sales_transactions"), path=f"{inbox}/p.sales_transactions")
 
     root = ["--root", layout.root]
     bus = ["--topic-prefix", "p", "--landing", inbox]
@@ -44,6 +45,19 @@ def test_all_jobs_from_landing_to_aggregate(spark, layout, capsys):
     assert read_gold(spark, layout, "sales_summary", GOLD["gold.sales_summary"][0]).count() == 1
 
 
+def test_a_failing_query_ends_the_job(spark, layout):
+    """The third of four queries meets a malformed record; the others are stopped."""
+    inbox = f"{layout.root}/inbox"
+    people = spark.createDataFrame([(1, "ann")], "customer_id INT, name STRING")
+    write_records(snapshot_records(people, CUSTOMERS, "p.customers", F.lit(0)), path=f"{inbox}/p.customers")
+    bad = records(spark, ["no json"]).withColumn("topic", F.lit("p.products"))
+    write_records(bad, path=f"{inbox}/p.products")
+    layouts = ["--root", layout.root, "--topic-prefix", "p", "--landing", inbox, "--max-files-per-batch", "1"]
+    with pytest.raises(Exception, match="MALFORMED_RECORD|malformed"):
+        main(["stream", *layouts, "--tables", "products", "customers"], spark)
+    assert not [q for q in spark.streams.active if q.name in ("raw-products", "silver-customers", "raw-customers")]
+
+
 def test_connectors_that_are_not_installed_say_so(spark):
     with pytest.raises(Exception, match="kafka"):
         kafka_records(spark, "localhost:1", ["t"])

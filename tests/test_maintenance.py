@@ -9,10 +9,10 @@ from records import SALES, document, records, row
 
 from tidefold.operators.envelope import decode_changelog
 from tidefold.operators.retention import expired_snapshots, orphans
-from tidefold.plans.maintenance import create_tables, expire, maintain, path_exists, remove_orphans, table_orphans
+from tidefold.plans.maintenance import create_tables, expire, maintain, path_exists, remove_orphans, run_steps, table_orphans
 from tidefold.schemas import SALES_SUMMARY_DDL
 from tidefold.sinks.gold import publish_gold, read_gold
-from tidefold.sinks.layout import snapshots
+from tidefold.sinks.layout import record_snapshot, snapshots
 from tidefold.sinks.silver import commit_batch, compact, read_silver
 from tidefold.sources.streams import file_records
 from tidefold.streaming.raw import start_raw
@@ -139,6 +139,31 @@ def test_a_failing_step_does_not_stop_the_others(spark, layout):
     }
 
 
+def test_only_an_absent_table_is_skipped(spark):
+    def denied():
+        raise PermissionError("no access to the table\n" + "x" * 500)
+
+    report = run_steps(spark, [("a", "s", denied), ("b", "s", lambda: None), ("c", "s", lambda: spark.read.parquet("/nowhere").count())])
+    found = {r.table_name: r for r in report.collect()}
+    assert (found["a"].status, found["b"].status, found["c"].status) == ("failed", "done", "skipped")
+    assert found["a"].message.endswith("x" * 500)
+
+
+def test_a_log_that_no_tick_has_read_is_kept(spark, layout):
+    name = "silver.sales_transactions"
+    for batch in range(8):
+        commit(spark, layout, batch)
+    compact(spark, layout, SALES)
+    for batch in range(8, 20):
+        commit(spark, layout, batch)
+    path = f"{layout.marks}/version=0"
+    spark.createDataFrame([("sales_transactions", 2)], "table_name STRING, mark BIGINT").write.parquet(path)
+    record_snapshot(spark, layout, "control.marks", "marks", 0, path, F.current_timestamp())
+    assert expire(spark, layout, name, retain_last=3, dry_run=False) == 3
+    left = [r.snapshot_id for r in snapshots(spark, layout).filter("kind = 'delta'").collect()]
+    assert sorted(left) == list(range(3, 20))
+
+
 def test_tables_are_created_once(spark, layout):
     database = "created_" + layout.root.rsplit("-", 1)[1]
     for _ in range(2):

@@ -4,7 +4,7 @@ import pytest
 from conftest import plan_of, values
 from pyspark.sql import functions as F
 
-from tidefold.operators.merge import MergeCardinalityError, check_cardinality, insert_if_absent, merge
+from tidefold.operators.merge import insert_if_absent, merge
 from tidefold.plans.gold import sales_summary
 
 DDL = "a INT, b INT, v STRING"
@@ -50,9 +50,15 @@ def test_delete_unmatched(spark):
 
 def test_cardinality(spark):
     target = frame(spark, (1, 1, "x"))
-    check_cardinality(target, frame(spark, (5, 5, "a"), (5, 5, "b")), KEYS)
-    with pytest.raises(MergeCardinalityError):
-        check_cardinality(target, frame(spark, (1, 1, "a"), (1, 1, "b")), KEYS)
+    twice = frame(spark, (1, 1, "a"), (1, 1, "b"))
+    unmatched = frame(spark, (5, 5, "a"), (5, 5, "b"), (None, 1, "c"), (None, 1, "d"))
+    assert merge(target, unmatched, KEYS).count() == 5
+    for options in ({}, {"null_safe": True}, {"delete_unmatched": True}):
+        with pytest.raises(Exception, match="several source rows match"):
+            merge(target, twice, KEYS, **options).collect()
+    nulls = frame(spark, (None, 1, "a"), (None, 1, "b"))
+    with pytest.raises(Exception, match="several source rows match"):
+        merge(frame(spark, (None, 1, "x")), nulls, KEYS, null_safe=True).collect()
 
 
 def test_aggregated_source_is_shuffled_once_and_read_once(spark, layout):

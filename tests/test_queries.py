@@ -32,6 +32,13 @@ def test_query(spark, sql, name):
     assert found == expected
 
 
+@pytest.mark.parametrize("name", ["raw_ingest", "silver_stream_sales"])
+def test_rows_do_not_depend_on_the_number_of_batches(spark, name):
+    query = contract.queries()[name]
+    found = [spark_rows(query(spark, DATA, batches)) for batches in (1, 20)]
+    assert found[0] == found[1]
+
+
 def test_entry(spark):
     assert contract.entry(spark).count() > 0
 

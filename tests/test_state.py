@@ -50,9 +50,9 @@ def test_base_and_delta_equal_one_fold_whatever_arrived_first(spark, drawn, data
     in_base = data.draw(st.lists(st.booleans(), min_size=len(changes), max_size=len(changes)))
     base = latest_per_key(spark.createDataFrame([c for c, b in zip(changes, in_base) if b], DDL), ["k"], ORDER)
     delta = spark.createDataFrame([c for c, b in zip(changes, in_base) if not b], DDL)
-    for limit in (1000, 0):
+    for limit in (1 << 20, 0):
         with_join(spark, limit)
-        found = live(apply_delta(base, delta, ["k"], ORDER, max_broadcast_rows=limit)).select("k", "v")
+        found = live(apply_delta(base, delta, ["k"], ORDER, max_broadcast_bytes=limit)).select("k", "v")
         assert values(found) == by_hand(changes)
     with_join(spark, 1000)
 
@@ -60,9 +60,9 @@ def test_base_and_delta_equal_one_fold_whatever_arrived_first(spark, drawn, data
 def test_null_key_counts_as_one_key_on_both_paths(spark):
     base = spark.createDataFrame([("c", None, "old", 1, 0), ("c", 1, "kept", 1, 1)], DDL)
     delta = spark.createDataFrame([("u", None, "new", 2, 2)], DDL)
-    for limit in (1000, 0):
+    for limit in (1 << 20, 0):
         with_join(spark, limit)
-        found = apply_delta(base, delta, ["k"], ORDER, max_broadcast_rows=limit).select("k", "v")
+        found = apply_delta(base, delta, ["k"], ORDER, max_broadcast_bytes=limit).select("k", "v")
         assert values(found) == [(1, "kept"), (None, "new")]
     with_join(spark, 1000)
 
@@ -105,7 +105,7 @@ def test_large_delta_shuffles_the_base_after_its_filters(spark, layout):
     delta = spark.createDataFrame([("u", 3, "z", 2, 100), ("d", 5, None, 2, 101)], DDL)
     with_join(spark, 0)
     try:
-        found = live(apply_delta(base, delta, ["k"], ORDER, max_broadcast_rows=0)).filter("v = 'a'").select("k", "v")
+        found = live(apply_delta(base, delta, ["k"], ORDER, max_broadcast_bytes=0)).filter("v = 'a'").select("k", "v")
         plan = plan_of(found)
         rows = found.count()
     finally:

@@ -14,12 +14,14 @@ import argparse
 import os
 import sys
 import time
+from collections.abc import Sequence
 
 if __package__ in (None, ""):
     sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StreamingQuery
 
 from tidefold.operators.capture import snapshot_records
 from tidefold.operators.reconcile import reconcile
@@ -40,9 +42,14 @@ def _records(spark: SparkSession, args: argparse.Namespace, table: str) -> DataF
     topic = topic_of(table, args.topic_prefix)
     if args.bootstrap_servers:
         return kafka_records(
-            spark, args.bootstrap_servers, [topic], max_offsets_per_trigger=args.max_records_per_batch
+            spark,
+            args.bootstrap_servers,
+            [topic],
+            max_offsets_per_trigger=args.max_records_per_batch,
+            min_partitions=args.min_partitions,
         )
-    return file_records(spark, args.landing).filter(F.col("topic") == topic)
+    # One folder per topic, so that no query reads the records of another table.
+    return file_records(spark, f"{args.landing}/{topic}", args.max_files_per_batch)
 
 
 def run_stream(spark: SparkSession, args: argparse.Namespace) -> None:
@@ -53,8 +60,18 @@ def run_stream(spark: SparkSession, args: argparse.Namespace) -> None:
         # Each query has its own checkpoint and so its own position in the topic.
         queries.append(start_raw(_records(spark, args, table), ENTITIES[table], layout, trigger, args.with_position))
         queries.append(start_silver(_records(spark, args, table), ENTITIES[table], layout, trigger))
-    for query in queries:
-        query.awaitTermination()
+    await_all(queries)
+
+
+def await_all(queries: Sequence[StreamingQuery], poll_s: float = 1.0) -> None:
+    """Wait until all queries have ended; the first that fails stops the others and raises."""
+    try:
+        while any([not query.awaitTermination(poll_s) for query in queries]):
+            pass
+    except Exception:
+        for query in queries:
+            query.stop()
+        raise
 
 
 def run_snapshot(spark: SparkSession, args: argparse.Namespace) -> None:
@@ -66,7 +83,7 @@ def run_snapshot(spark: SparkSession, args: argparse.Namespace) -> None:
     if args.bootstrap_servers:
         write_records(records, bootstrap_servers=args.bootstrap_servers)
     else:
-        write_records(records, path=args.landing)
+        write_records(records, path=f"{args.landing}/{topic_of(args.table, args.topic_prefix)}")
 
 
 def run_gold(spark: SparkSession, args: argparse.Namespace) -> None:
@@ -83,7 +100,12 @@ def run_tick(spark: SparkSession, args: argparse.Namespace) -> None:
 
 
 def run_maintain(spark: SparkSession, args: argparse.Namespace) -> None:
-    maintain(spark, Layout(args.root), dry_run=not args.apply).show(100, truncate=False)
+    # One row per table and step.
+    report = maintain(spark, Layout(args.root), dry_run=not args.apply).collect()
+    for row in report:
+        print(*row, sep="\t")
+    if any(row.status == "failed" for row in report):
+        raise SystemExit(1)
 
 
 def run_check(spark: SparkSession, args: argparse.Namespace) -> None:
@@ -109,14 +131,16 @@ def parser() -> argparse.ArgumentParser:
         sub.add_argument("--topic-prefix", required=True)
         source = sub.add_mutually_exclusive_group(required=True)
         source.add_argument("--bootstrap-servers")
-        source.add_argument("--landing", help="folder of JSON lines instead of Kafka")
+        source.add_argument("--landing", help="folder of JSON lines instead of Kafka, with a folder per topic")
 
     stream = job("stream", run_stream)
     bus(stream)
     stream.add_argument("--tables", nargs="+", choices=list(ENTITIES), default=list(ENTITIES))
     stream.add_argument("--once", action="store_true", help="process what is there, then stop")
     stream.add_argument("--with-position", action="store_true", help="keep the offset in RAW")
-    stream.add_argument("--max-records-per-batch", type=int)
+    stream.add_argument("--max-records-per-batch", type=int, help="of a topic")
+    stream.add_argument("--max-files-per-batch", type=int, help="of a landing folder")
+    stream.add_argument("--min-partitions", type=int, help="tasks that a batch of a topic is split into")
 
     snapshot = job("snapshot", run_snapshot)
     bus(snapshot)

@@ -52,17 +52,11 @@ def next_watermark(log: DataFrame, since: datetime.datetime = EPOCH) -> DataFram
 def advanced_marks(log: DataFrame, marks: Mapping[str, int]) -> DataFrame:
     """Tables with changes past their own mark, and the new mark of each.
 
-    Marks are microseconds since the epoch, one per table: every table is
-    written by its own stream, so a single mark could skip a batch that becomes
-    visible after a later batch of another table.  The marks become one filter,
-    which prunes log partitions by table and row groups by commit time.
+    A mark is the last batch handled of a table.  Batch ids of a table only
+    grow, whatever the clocks of the drivers that commit them say, and every
+    table has a mark of its own, as each is written by its own stream.
     """
     unseen = ~F.col("table_name").isin(*marks) if marks else F.lit(True)
     for table, mark in marks.items():
-        newer = F.col("committed_at") > F.timestamp_micros(F.lit(mark).cast("long"))
-        unseen = unseen | ((F.col("table_name") == table) & newer)
-    return (
-        log.filter(unseen)
-        .groupBy("table_name")
-        .agg(F.unix_micros(F.max("committed_at").cast("timestamp")).alias("mark"))
-    )
+        unseen = unseen | ((F.col("table_name") == table) & (F.col("snapshot_id") > mark))
+    return log.filter(unseen).groupBy("table_name").agg(F.max("snapshot_id").alias("mark"))

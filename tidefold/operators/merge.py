@@ -9,21 +9,10 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
-class MergeCardinalityError(ValueError):
-    """A target row is matched by more than one source row."""
-
-
 def _all(conditions: list[Column]) -> Column:
     return reduce(lambda a, b: a & b, conditions)
 
 
-def check_cardinality(target: DataFrame, source: DataFrame, keys: Sequence[str]) -> None:
-    """Raise if one target row would be updated twice.  Counts are combined map-side."""
-    repeated = source.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).filter("_n > 1").select(*keys)
-    if not repeated.join(target.select(*keys), list(keys), "left_semi").isEmpty():
-        raise MergeCardinalityError(f"several source rows match one target row on {list(keys)}")
-
-
 def merge(
     target: DataFrame,
     source: DataFrame,
@@ -37,13 +26,14 @@ def merge(
     anew; ``null_safe`` matches NULL with NULL.  Target rows without a source
     row stay unless ``delete_unmatched`` is set.  The source is read once (it is
     usually an aggregate over a large table) and keeps its partitioning when it
-    was grouped by the same keys.
+    was grouped by the same keys.  Several source rows that match one target row
+    raise an error when the result is computed, as a native ``MERGE`` does; they
+    are counted in the partitions and the order that the join needs anyway.
     """
     columns = target.columns
-    if delete_unmatched:
-        return source.select(*columns)
-
+    rows = F.count(F.lit(1)).over(Window.partitionBy(*[f"_n_{k}" for k in keys]))
     new = source.select(*[F.col(c).alias(f"_n_{c}") for c in columns], F.lit(True).alias("_new"))
+    new = new.withColumn("_rows", rows)
     old = target.select(*columns, F.lit(True).alias("_old"))
     unmatchable = None
     if null_safe:
@@ -56,10 +46,12 @@ def merge(
         unmatchable = target.filter(~present)
         old = old.filter(present)
 
-    merged = old.join(new, on, "full_outer").select(
-        *[F.when(F.col("_new"), F.col(f"_n_{c}")).otherwise(F.col(c)).alias(c) for c in columns]
-    )
-    return merged if unmatchable is None else merged.unionByName(unmatchable)
+    twice = F.col("_old") & F.col("_new") & (F.col("_rows") > 1)
+    message = F.lit(f"several source rows match one target row on {list(keys)}")
+    found = old.join(new, on, "right" if delete_unmatched else "full_outer")
+    found = found.filter(F.when(twice, F.raise_error(message).cast("boolean")).otherwise(F.lit(True)))
+    merged = found.select(*[F.when(F.col("_new"), F.col(f"_n_{c}")).otherwise(F.col(c)).alias(c) for c in columns])
+    return merged if unmatchable is None or delete_unmatched else merged.unionByName(unmatchable)
 
 
 def merge_into_table(source: DataFrame, table: str, keys: Sequence[str]) -> None:

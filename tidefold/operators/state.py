@@ -5,10 +5,10 @@ from __future__ import annotations
 from collections.abc import Sequence
 from functools import reduce
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidefold.operators.sizing import BROADCAST_ROWS, has_at_most
+from tidefold.operators.sizing import BROADCAST_BYTES, row_bytes, size_of
 
 
 def latest_per_key(changes: DataFrame, keys: Sequence[str], order: Sequence[str]) -> DataFrame:
@@ -41,41 +41,58 @@ def apply_delta(
     delta: DataFrame,
     keys: Sequence[str],
     order: Sequence[str],
-    max_broadcast_rows: int = BROADCAST_ROWS,
+    max_broadcast_bytes: int = BROADCAST_BYTES,
 ) -> DataFrame:
     """State of a base (one row per key) after the changes in ``delta``.
 
     A base is far larger than the changes since it was written, so it is joined
-    with the folded changes and never folded itself: filters and column lists of
-    the caller apply to its files, before any shuffle.  When the changed keys
-    are proven few they are broadcast and the base is only scanned; otherwise
-    the join shuffles it once.  Both ways give the same rows.
+    with the folded changes and never folded itself.  When the changed keys are
+    proven small they are broadcast and the base is only scanned; otherwise one
+    full join shuffles the base and the folded delta once each.  Both ways give
+    the same rows.
     """
-    columns = base.columns
     newest = latest_per_key(delta, keys, order)
-    changed = newest.select(*keys, *order)
+    changed = [*keys, *order]
     first = order[0]
-    # The number of rows bounds the number of keys; keys are counted only beyond it.
-    size, timed, oldest = delta.agg(F.count(F.lit(1)), F.count(first), F.min(first)).first()
-    few = size <= max_broadcast_rows or has_at_most(delta.select(*keys).distinct(), max_broadcast_rows)
+    # The changes bound the changed keys; keys are measured only beyond that bound.
+    size, rows, timed, oldest = delta.agg(
+        F.sum(row_bytes(delta, changed)), F.count(F.lit(1)), F.count(first), F.min(first)
+    ).first()
+    if (size or 0) <= max_broadcast_bytes or size_of(delta.select(*keys).distinct()) <= max_broadcast_bytes:
+        return _scanned(base, newest, keys, order, oldest if timed == rows else None)
+    return _merged(base, newest, keys, order)
+
 
-    def side(df: DataFrame) -> DataFrame:
-        return F.broadcast(df) if few else df
+def _same_key(keys: Sequence[str], renamed: str) -> Column:
+    return reduce(lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(renamed + k)) for k in keys])
 
-    marks = changed.select(*[F.col(c).alias(f"_d_{c}") for c in changed.columns])
-    same_key = reduce(lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(f"_d_{k}")) for k in keys])
-    position = F.struct(*order)
-    delta_position = F.struct(*[F.col(f"_d_{c}") for c in order])
 
-    untouched = base.join(side(marks), same_key & (delta_position >= position), "left_anti")
+def _merged(base: DataFrame, newest: DataFrame, keys: Sequence[str], order: Sequence[str]) -> DataFrame:
+    """One full join; of the two rows of a key the later one stays."""
+    columns = base.columns
+    new = newest.select(*[F.col(c).alias(f"_d_{c}") for c in columns], F.lit(True).alias("_new"))
+    old = base.withColumn("_old", F.lit(True))
+    later = F.struct(*[F.col(f"_d_{c}") for c in order]) >= F.struct(*order)
+    wins = F.col("_new").isNotNull() & (F.col("_old").isNull() | later)
+    joined = old.join(new, _same_key(keys, "_d_"), "full_outer")
+    return joined.select(*[F.when(wins, F.col(f"_d_{c}")).otherwise(F.col(c)).alias(c) for c in columns])
+
+
+def _scanned(
+    base: DataFrame, newest: DataFrame, keys: Sequence[str], order: Sequence[str], oldest: int | None
+) -> DataFrame:
+    """The changed keys are broadcast: filters and column lists of the caller reach the files of the base."""
+    changed = newest.select(*keys, *order)
+    marks = F.broadcast(changed.select(*[F.col(c).alias(f"_d_{c}") for c in changed.columns]))
+    position, delta_position = F.struct(*order), F.struct(*[F.col(f"_d_{c}") for c in order])
+    untouched = base.join(marks, _same_key(keys, "_d_") & (delta_position >= position), "left_anti")
     # Changes that arrived late: the base already holds a newer row for the key.
     # Only base rows at least as new as the oldest change can be such rows, and
     # file statistics rule out nearly all of the base by that bound.
     recent = base.select(*keys, *order)
-    if timed == size and oldest is not None:
-        recent = recent.filter(F.col(first) >= F.lit(oldest))
-    late = recent.join(side(marks), same_key & (delta_position < position), "left_semi").select(
-        *[F.col(k).alias(f"_d_{k}") for k in keys]
-    )
-    applied = newest.join(side(late), same_key, "left_anti")
-    return untouched.unionByName(applied.select(*columns))
+    if oldest is not None:
+        recent = recent.filter(F.col(order[0]) >= F.lit(oldest))
+    late = recent.join(marks, _same_key(keys, "_d_") & (delta_position < position), "left_semi")
+    late = F.broadcast(late.select(*[F.col(k).alias(f"_d_{k}") for k in keys]))
+    applied = newest.join(late, _same_key(keys, "_d_"), "left_anti")
+    return untouched.unionByName(applied.select(*base.columns))

@@ -4,14 +4,16 @@ from __future__ import annotations
 
 import datetime
 from collections.abc import Callable, Iterable, Mapping
-from concurrent.futures import ThreadPoolExecutor
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.errors import AnalysisException
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidefold.functions.scalars import normalised_path
 from tidefold.operators.retention import OLDER_THAN, RETAIN_LAST, expired_snapshots, list_files, orphans
+from tidefold.plans.refresh import stored_marks
 from tidefold.schemas import ENTITIES, MAINTAINED_TABLES, Entity
+from tidefold.session import ensure_checkpoint_dir
 from tidefold.sinks.layout import Layout, snapshots
 from tidefold.sinks.silver import compact
 
@@ -24,16 +26,14 @@ CONTROL_TABLES = ("control.marks",)
 ORPHAN_AGE = datetime.timedelta(days=3)
 
 
-def delete_paths(spark: SparkSession, paths: Iterable[str], threads: int = 16) -> int:
-    """Delete files or folders through the cluster's file system; absent ones are fine."""
+def delete_paths(spark: SparkSession, paths: Iterable[str]) -> int:
+    """Delete files or folders through the cluster's file system, one by one; absent ones are fine."""
     jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
-
-    def delete(path: str) -> bool:
+    deleted = 0
+    for path in paths:
         target = jvm.org.apache.hadoop.fs.Path(path)
-        return target.getFileSystem(conf).delete(target, True)
-
-    with ThreadPoolExecutor(threads) as pool:
-        return sum(pool.map(delete, paths))
+        deleted += target.getFileSystem(conf).delete(target, True)
+    return deleted
 
 
 def path_exists(spark: SparkSession, path: str) -> bool:
@@ -51,6 +51,12 @@ def _recorded(spark: SparkSession, layout: Layout, table: str) -> DataFrame:
     return snapshots(spark, layout).filter(F.col("table_name") == table)
 
 
+def settled_rows(df: DataFrame) -> DataFrame:
+    """Rows that stay as they are while their sources are deleted."""
+    ensure_checkpoint_dir(df.sparkSession)
+    return df.checkpoint()
+
+
 def superseded(spark: SparkSession, layout: Layout, table: str, retain_last: int = RETAIN_LAST) -> DataFrame:
     """Snapshot records that retention may drop, with the folders they own.
 
@@ -70,7 +76,11 @@ def superseded(spark: SparkSession, layout: Layout, table: str, retain_last: int
     covering = bases.filter(F.col("snapshot_id") <= oldest_kept).agg(F.max("snapshot_id")).first()[0]
     if covering is None:
         return expired.limit(0)
-    return expired.filter(F.col("snapshot_id") <= covering).unionByName(
+    done = covering
+    marks = stored_marks(spark, layout)
+    if marks:  # the log of a batch that no tick has seen is still needed
+        done = min(covering, marks.get(table.removeprefix("silver."), -1))
+    return expired.filter(F.col("snapshot_id") <= done).unionByName(
         bases.filter(F.col("snapshot_id") < covering)
     )
 
@@ -83,12 +93,23 @@ def expire(spark: SparkSession, layout: Layout, table: str, retain_last: int = R
     gone = superseded(spark, layout, table, retain_last)
     if dry_run:
         return gone.count()
-    # Bounded by the micro-batches committed since the last run.
-    rows = [(r.kind, r.snapshot_id, r.path) for r in gone.select("kind", "snapshot_id", "path").toLocalIterator()]
-    # Records first: a reader must not follow a record whose folder is gone.
-    delete_paths(spark, [layout.snapshot(table, kind, sid) for kind, sid, _ in rows])
-    delete_paths(spark, [path for _, _, path in rows])
-    return len(rows)
+    # A folder or two for each snapshot, one after the other.  Records first: a
+    # reader must not follow a record whose folder is gone.
+    gone = settled_rows(gone.select("kind", "snapshot_id", "path", "log_path"))
+    count = 0
+    for r in gone.toLocalIterator():
+        delete_paths(spark, [layout.snapshot(table, r.kind, r.snapshot_id)])
+        delete_paths(spark, [p for p in (r.path, r.log_path) if p])
+        count += 1
+    return count
+
+
+def layer_of(table: str) -> str:
+    return table.partition(".")[0]
+
+
+def folder_of(path: str) -> Column:
+    return F.regexp_replace(F.col(path), "/[^/]+$", "")
 
 
 def table_orphans(
@@ -104,12 +125,13 @@ def table_orphans(
         referenced = list_files(spark, [root])
         return orphans(listing, referenced, modified_before)
     root = f"{layout.root}/{layer}/{name}"
-    globs = [f"{root}/delta/*/*.parquet", f"{root}/base/*/*.parquet"] if layer == "silver" else [f"{root}/*/*.parquet"]
+    globs = [f"{root}/{kind}/*/*.parquet" for kind in ("delta", "base", "log")] if layer == "silver" else [f"{root}/*/*.parquet"]
     globs = [g for g in globs if path_exists(spark, g.rsplit("/", 2)[0])]
     listing = list_files(spark, globs)
     # A folder belongs to the snapshot that records it, so folders are compared.
     inside = F.substring(F.col("path"), len(layout.root) + 1, 1 << 30)
-    owned = _recorded(spark, layout, table).select(
+    recorded = _recorded(spark, layout, table).select(F.explode(F.array("path", "log_path")).alias("path"))
+    owned = recorded.filter("path is not null").select(
         normalised_path(F.concat(F.lit(qualified(spark, layout.root)), inside)).alias("path")
     )
     folder = F.regexp_replace(normalised_path(F.col("path")), "/[^/]+$", "")
@@ -124,7 +146,12 @@ def remove_orphans(
     found = table_orphans(spark, layout, table, cutoff)
     if dry_run:
         return found.count()
-    return delete_paths(spark, (r.path for r in found.select("path").toLocalIterator()))
+    found = settled_rows(found.select("path"))
+    if layer_of(table) != "raw":
+        # Folders hold the files of one attempt each; a folder costs one call.
+        delete_paths(spark, (r.f for r in found.select(folder_of("path").alias("f")).distinct().toLocalIterator()))
+        return found.count()
+    return delete_paths(spark, (r.path for r in found.toLocalIterator()))
 
 
 def maintain(
@@ -138,23 +165,30 @@ def maintain(
 ) -> DataFrame:
     """Run every step on every table; a failing step is reported and the next one runs.
 
-    Returns one row per table and step.
+    Returns one row per table and step.  ``skipped`` stands for a table that is
+    not there yet; anything else that goes wrong is ``failed``, with its message.
     """
-    report = []
-
-    def attempt(table: str, step: str, job: Callable[[], int | None]) -> None:
-        try:
-            items = job()
-            report.append((table, step, "done", 0 if items is None else items, ""))
-        except Exception as error:  # a table may not exist yet
-            report.append((table, step, "skipped", 0, str(error).splitlines()[0][:200]))
-
+    steps: list[tuple[str, str, Callable[[], int | None]]] = []
     for table in tables:
         layer, _, name = table.partition(".")
         if layer == "silver" and name in entities and not dry_run:
-            attempt(table, "compact", lambda: None if compact(spark, layout, entities[name]) is None else 1)
-        attempt(table, "expire_snapshots", lambda: expire(spark, layout, table, retain_last, dry_run))
-        attempt(table, "remove_orphan_files", lambda: remove_orphans(spark, layout, table, orphan_age, dry_run))
+            steps.append((table, "compact", lambda name=name: None if compact(spark, layout, entities[name]) is None else 1))
+        steps.append((table, "expire_snapshots", lambda table=table: expire(spark, layout, table, retain_last, dry_run)))
+        steps.append(
+            (table, "remove_orphan_files", lambda table=table: remove_orphans(spark, layout, table, orphan_age, dry_run))
+        )
+    return run_steps(spark, steps)
+
+
+def run_steps(spark: SparkSession, steps: Iterable[tuple[str, str, Callable[[], int | None]]]) -> DataFrame:
+    """Run the steps ``(table, step, job)`` in turn and report each; jobs return the items that they handled."""
+    report = []
+    for table, step, job in steps:
+        try:
+            report.append((table, step, "done", job() or 0, ""))
+        except Exception as error:
+            absent = isinstance(error, AnalysisException) and error.getCondition() == "PATH_NOT_FOUND"
+            report.append((table, step, "skipped" if absent else "failed", 0, str(error)))
     return spark.createDataFrame(report, REPORT_DDL)
 
 

@@ -19,7 +19,7 @@ _SALES = _LINES + """,
 sales as (select * from last_lines where op <> 'd'),
 sales_transactions as (
   select txn_id, store_id, product_id, cast(o_custkey as int) as customer_id, qty, total_amount, status
-  from sales join orders on order_id = o_orderkey)"""
+  from sales left join orders on order_id = o_orderkey)"""
 
 _CUSTOMERS = """
 customer_changes as (
@@ -29,7 +29,7 @@ customer_changes as (
   union all
   select case event_type when 'error' then 'd' when 'signup' then 'c' else 'u' end, cast(user_id as int), c_name,
          event_type, cast(value as decimal(12,2)), ts, event_id
-  from events join customer on user_id = c_custkey),
+  from events left join customer on user_id = c_custkey),
 customers as (
   select customer_id, name, loyalty_tier, total_spend from (
     select *, row_number() over (partition by customer_id order by ts desc, seq desc) as rn from customer_changes)
@@ -102,14 +102,22 @@ _SALES_COLUMNS = "txn_id, store_id, product_id, customer_id, qty, total_amount,
 
 ORACLE = {
     "cdc_scan": """
-        select 'retail.dbo.sales_transactions' as topic, l_orderkey * 8 + l_linenumber as key,
-               l_partkey * 2147483648 + l_suppkey as "offset"
-        from lineitem join orders on l_orderkey = o_orderkey
-        union all select 'retail.dbo.customers', c_custkey, -1 from customer
-        union all select 'retail.dbo.customers', user_id, event_id from events join customer on user_id = c_custkey
-        union all select 'retail.dbo.products', p_partkey, p_partkey from part
-        union all select 'retail.dbo.stores', s_suppkey, s_suppkey
-        from supplier join nation on s_nationkey = n_nationkey join region on n_regionkey = r_regionkey""",
+        with sent as (
+          select 'sales_transactions' as t, l_orderkey * 8 + l_linenumber as key,
+                 l_partkey * 2147483648 + l_suppkey as "offset", epoch_ms(l_shipdate) as ts_ms,
+                 case l_returnflag when 'R' then 'd' when 'A' then 'u' else 'c' end as op from lineitem
+          union all select 'customers', c_custkey, -1, 0, 'r' from customer
+          union all select 'customers', user_id, event_id, epoch_us(ts) // 1000,
+                           case event_type when 'error' then 'd' when 'signup' then 'c' else 'u' end from events
+          union all select 'products', p_partkey, -1, 0, 'r' from part
+          union all select 'products', l_partkey, (l_orderkey * 8 + l_linenumber) * 16777216 + l_suppkey,
+                           epoch_ms(l_shipdate), 'u' from lineitem
+          union all select 'stores', s_suppkey, -1, 0, 'r' from supplier
+          union all select 'stores', l_suppkey, (l_orderkey * 8 + l_linenumber) * 16777216 + l_partkey,
+                           epoch_ms(l_shipdate), case l_linestatus when 'F' then 'd' else 'u' end from lineitem)
+        select 'retail.dbo.' || t as topic, key, 0::int as partition, "offset", make_timestamp(ts_ms * 1000) as timestamp,
+               op, op in ('u', 'd') as has_before, op <> 'd' as has_after, ts_ms as source_ts_ms, ts_ms
+        from sent""",
     "cdc_include": """
         select event_type, event_id, user_id from events
         where event_type in ('click', 'purchase', 'signup', 'view')""",
@@ -127,8 +135,7 @@ ORACLE = {
         from old full outer join new on old.o_orderkey = new.o_orderkey
         where old.o_orderkey is null or new.o_orderkey is null or old.status is distinct from new.status
            or old.o_totalprice is distinct from new.o_totalprice""",
-    "gold_scan": f"""with {_SALES}
-        select * exclude (updated_at) from ({_SUMMARY.format(source="sales", at=_SECOND)})""",
+    "gold_scan": f"""with {_SALES} {_SUMMARY.format(source="sales", at=_SECOND)}""",
     "decode_lenient": f"""with {_ORDERS}
         select op, case op when 'd' then o_orderkey else new_key end as txn_id,
                case o_orderpriority when '1-URGENT' then null else 1 end as qty, total_amount, status,
@@ -145,31 +152,38 @@ ORACLE = {
         select op, case when op <> 'c' then txn_id end as before_txn_id, case when op <> 'd' then txn_id end as after_txn_id,
                case when op <> 'd' then cast(o_custkey as int) end as after_customer_id,
                case when op <> 'd' then total_amount end as after_total_amount, epoch_ms(shipped_at) as source_ts_ms
-        from lines join orders on order_id = o_orderkey""",
+        from lines left join orders on order_id = o_orderkey""",
     "silver_customers": f"with {_CUSTOMERS} select * from customers",
     "silver_products": f"""with {_LAST_CHANGE}
-        select cast(p_partkey as int) as product_id, p_name as name, p_type as category, p_brand as brand,
-               coalesce(l.unit_price, cast(p_retailprice as decimal(12,2))) as unit_price,
+        select cast(coalesce(p_partkey, l.product_id) as int) as product_id, p_name as name, p_type as category,
+               p_brand as brand, coalesce(l.unit_price, cast(p_retailprice as decimal(12,2))) as unit_price,
                coalesce(l.is_active, p_size > 0) as is_active
-        from part left join product_last l on l.product_id = p_partkey""",
+        from part full join product_last l on l.product_id = p_partkey""",
     "silver_sales_transactions": f"with {_SALES} select {_SALES_COLUMNS} from sales_transactions",
     "silver_stores": f"""with {_LAST_CHANGE}
-        select cast(s_suppkey as int) as store_id, s_name as name, n_name as city, r_name as region, l.is_active
-        from supplier join nation on s_nationkey = n_nationkey join region on n_regionkey = r_regionkey
-        join store_last l on l.store_id = s_suppkey where l.l_linestatus <> 'F'""",
+        select cast(coalesce(s_suppkey, l.store_id) as int) as store_id, s_name as name, n_name as city, r_name as region,
+               l.is_active
+        from supplier left join nation on s_nationkey = n_nationkey left join region on n_regionkey = r_regionkey
+        full join store_last l on l.store_id = s_suppkey where coalesce(l.l_linestatus, '') <> 'F'""",
     "silver_deletes": f"""with {_LINES}
         select txn_id, epoch_ms(shipped_at) as ts_ms from last_lines where op = 'd'""",
     "silver_stream_sales": f"with {_SALES} select {_SALES_COLUMNS} from sales_transactions",
     "silver_stream_compacted": f"with {_CUSTOMERS} select * from customers",
-    "independent_streams": f"""with {_SALES}, {_CUSTOMERS}
+    "silver_late_changes": f"with {_SALES} select {_SALES_COLUMNS} from sales_transactions",
+    "independent_streams": f"""with {_SALES}, {_CUSTOMERS}, {_LAST_CHANGE}
         select 'raw' as layer, 'customers' as table_name, count(*) as n_rows from customer_changes
         union all select 'change_log', 'customers', count(*) from customer_changes
         union all select 'silver', 'customers', count(*) from customers
-        union all select 'raw', 'sales_transactions', count(*) from lines join orders on order_id = o_orderkey
-        union all select 'change_log', 'sales_transactions', count(*) from lines join orders on order_id = o_orderkey
+        union all select 'raw', 'sales_transactions', count(*) from lines
+        union all select 'change_log', 'sales_transactions', count(*) from lines
         union all select 'silver', 'sales_transactions', count(*) from sales_transactions
-        union all select layer, 'products', count(*) from part, (values ('raw'), ('silver'), ('change_log')) t(layer) group by layer
-        union all select layer, 'stores', count(*) from supplier, (values ('raw'), ('silver'), ('change_log')) t(layer) group by layer""",
+        union all select layer, 'products', (select count(*) from part) + (select count(*) from lineitem)
+        from (values ('raw'), ('change_log')) t(layer)
+        union all select layer, 'stores', (select count(*) from supplier) + (select count(*) from lineitem)
+        from (values ('raw'), ('change_log')) t(layer)
+        union all select 'silver', 'products', count(*) from (select p_partkey from part union select l_partkey from lineitem)
+        union all select 'silver', 'stores', count(*) from supplier full join store_last l on l.store_id = s_suppkey
+        where coalesce(l.l_linestatus, '') <> 'F'""",
     "merge_sales_summary": f"with {_EARLY} select * from merged",
     "merge_customer_loyalty": f"""with {_SALES}, {_SNAPSHOT},
         targeted as (select * from loaded where loyalty_tier <> 'BUILDING'),
@@ -192,8 +206,7 @@ ORACLE = {
                  as affected_keys,
                count(distinct affected_keys) as n_keys, count(*) as n_changes, max(committed_at) as committed_at
         from log group by snapshot_id, txn_id // 1000""",
-    "create_if_absent": f"""with {_SALES}
-        select * exclude (updated_at) from ({_SUMMARY.format(source="sales", at=_SECOND)})""",
+    "create_if_absent": f"""with {_SALES} {_SUMMARY.format(source="sales", at=_SECOND)}""",
     "insert_if_absent": """
         with existing as (
           select user_id, event_type, max(event_id) as edge_id from events where value < 5 group by user_id, event_type)
@@ -206,10 +219,9 @@ ORACLE = {
     "customer_loyalty": f"""with {_SALES}, {_CUSTOMERS}
         {_LOYALTY.format(customers="customers", sales="sales_transactions", at=_SECOND)}""",
     "left_join_counts": """
-        select cast(c_custkey as int) as customer_id, any_value(c_name) as name, count(o_orderkey) as txn_count
-        from customer left join orders
-          on o_custkey = c_custkey and o_orderpriority = '1-URGENT' and o_orderstatus = 'P'
-        group by c_custkey""",
+        select cast(c_custkey as int) as customer_id, any_value(c_name) as name,
+               count(*) filter (o_orderpriority = '1-URGENT' and o_orderstatus = 'P') as txn_count
+        from customer left join orders on o_custkey = c_custkey group by c_custkey""",
     "sum_types": f"""with {_LINES}
         select op, status, cast(sum(qty) as bigint) as sum_int, sum(total_amount) as sum_decimal,
                cast(sum(total_amount) as double) as sum_double, count(*) as n_rows
@@ -240,25 +252,16 @@ ORACLE = {
     "orphans": """
         select 'file:///tables/part-' || o_orderkey as path, o_orderdate as modified_at from orders
         where not exists (select 1 from lineitem where l_orderkey = o_orderkey)""",
-    "maintenance_report": f"""with {_SALES},
-        visited as (
-          select * from (values ('raw'), ('silver')) l(layer),
-                        (values ('customers'), ('products'), ('sales_transactions'), ('stores')) t(name)
-          union all values ('gold', 'sales_summary'), ('gold', 'customer_loyalty'), ('control', 'marks')),
-        steps as (
-          select layer || '.' || name as table_name, step, layer from visited,
-                 (values ('compact'), ('expire_snapshots'), ('remove_orphan_files')) s(step)
-          where step <> 'compact' or layer = 'silver'),
-        kept as (
-          select 'silver.sales_transactions' as table_name, count(*) as rows_after from sales_transactions
-          union all
-          select 'gold.sales_summary', count(*) from ({_SUMMARY.format(source="sales_transactions", at=_FIRST)}))
-        select table_name, step,
-               case when layer = 'raw' and step = 'remove_orphan_files' then 'skipped' else 'done' end as status,
-               case when step = 'compact' and table_name = 'silver.sales_transactions' then 1
-                    when step = 'expire_snapshots' and table_name = 'gold.sales_summary' then 2 else 0 end as items,
-               rows_after
-        from steps left join kept using (table_name)""",
+    "maintenance_report": """
+        with ranked as (
+          select event_type, value, row_number() over (partition by event_type order by ts desc, event_id desc) as rn
+          from events where event_type in ('click', 'error', 'purchase', 'signup', 'view'))
+        select event_type as table_name, 'expire_snapshots' as step, 'done' as status,
+               count(*) filter (rn > 10) as items from ranked group by event_type
+        union all
+        select event_type, 'remove_orphan_files', 'done', count(*) filter (not coalesce(value >= 50, false))
+        from ranked group by event_type
+        union all select 'lost', 'expire_snapshots', 'failed', 0""",
     "governed_loyalty": f"""with {_SALES}, {_CUSTOMERS}
         select * exclude (name, lifetime_spend) from (
           {_LOYALTY.format(customers="customers", sales="sales_transactions", at=_SECOND)})""",
@@ -279,8 +282,7 @@ ORACLE = {
         union all select 'customers', 'r', count(*) from customer""",
     "silver_reconcile": f"""with {_SALES}
         select txn_id, case when op = 'd' then 'stale' when qty = 50 then 'missing' else 'different' end as status
-        from last_lines join orders on order_id = o_orderkey
-        where (op = 'd' and qty = 7) or (op <> 'd' and qty in (1, 50))""",
+        from last_lines where (op = 'd' and qty = 7) or (op <> 'd' and qty in (1, 50))""",
     "changelog_gaps": f"""with {_LINES}
         select 'sales_transactions' as table_name, cast(txn_id as varchar) as affected_keys
         from lines group by txn_id having count(*) filter (op <> 'd') = 0""",

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import datetime
-from math import ceil
+import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -14,7 +14,7 @@ from tidefold.operators.envelope import changelog as to_changelog
 from tidefold.operators.envelope import decode, decode_changelog, readable
 from tidefold.operators.state import latest_per_key, live
 from tidefold.plans import gold, refresh, standins
-from tidefold.plans.maintenance import create_tables, maintain
+from tidefold.plans.maintenance import create_tables, run_steps
 from tidefold.schemas import CUSTOMER_LOYALTY_DDL, CUSTOMERS, ORDER, RECORD_DDL, SALES_SUMMARY_DDL
 from tidefold.session import fresh_dir
 from tidefold.sinks.gold import publish_gold, read_gold, serving_view
@@ -39,18 +39,18 @@ def _at(text: str) -> Column:
 # --- sources ---------------------------------------------------------------
 
 
-def _stream(spark: SparkSession, d: str, table: str) -> DataFrame:
-    """A landed table as a stream: a few micro-batches, more once they would get large."""
-    path, files = standins.land_table(spark, d, table)
-    return file_records(spark, path, max_files_per_trigger=min(ceil(files / 3), 1000))
+def _stream(spark: SparkSession, d: str, table: str, batches: int = standins.BATCHES) -> DataFrame:
+    """A landed table as a stream of so many micro-batches, whatever its size."""
+    path, files = standins.land_table(spark, d, table, batches)
+    return file_records(spark, path, max_files_per_trigger=files)
 
 
-def cdc_scan(spark: SparkSession, d: str) -> DataFrame:
+def cdc_scan(spark: SparkSession, d: str, batches: int = standins.BATCHES) -> DataFrame:
     """All records of the four topics, read as a stream and stored as they come."""
     out = fresh_dir(spark, "cdc-scan")
     for table in standins.RECORDS:
         query = (
-            _stream(spark, d, table)
+            _stream(spark, d, table, batches)
             .writeStream.format("parquet")
             .option("path", f"{out}/{table}")
             .option("checkpointLocation", f"{out}/checkpoint-{table}")
@@ -62,7 +62,19 @@ def cdc_scan(spark: SparkSession, d: str) -> DataFrame:
     both = parts[0]
     for part in parts[1:]:
         both = both.unionByName(part)
-    return both.select("topic", F.col("key").cast("long").alias("key"), "offset")
+    sent = F.from_json("value", "op STRING, before STRING, after STRING, source STRUCT<ts_ms: BIGINT>, ts_ms BIGINT")
+    return both.withColumn("_sent", sent).select(
+        "topic",
+        F.col("key").cast("long").alias("key"),
+        "partition",
+        "offset",
+        "timestamp",
+        F.col("_sent.op").alias("op"),
+        F.col("_sent.before").isNotNull().alias("has_before"),
+        F.col("_sent.after").isNotNull().alias("has_after"),
+        F.col("_sent.source.ts_ms").alias("source_ts_ms"),
+        F.col("_sent.ts_ms").alias("ts_ms"),
+    )
 
 
 def cdc_include(spark: SparkSession, d: str) -> DataFrame:
@@ -166,19 +178,21 @@ def completed_sales(spark: SparkSession, d: str) -> DataFrame:
 # --- RAW and SILVER --------------------------------------------------------
 
 
-def _run_raw(spark: SparkSession, d: str, table: str, layout: Layout, with_position: bool = True) -> None:
+def _run_raw(
+    spark: SparkSession, d: str, table: str, layout: Layout, with_position: bool = True, batches: int = standins.BATCHES
+) -> None:
     entity = standins.STANDIN_ENTITIES[table]
-    start_raw(_stream(spark, d, table), entity, layout, AVAILABLE_NOW, with_position).awaitTermination()
+    start_raw(_stream(spark, d, table, batches), entity, layout, AVAILABLE_NOW, with_position).awaitTermination()
 
 
-def _run_silver(spark: SparkSession, d: str, table: str, layout: Layout) -> None:
+def _run_silver(spark: SparkSession, d: str, table: str, layout: Layout, batches: int = standins.BATCHES) -> None:
     entity = standins.STANDIN_ENTITIES[table]
-    start_silver(_stream(spark, d, table), entity, layout, AVAILABLE_NOW).awaitTermination()
+    start_silver(_stream(spark, d, table, batches), entity, layout, AVAILABLE_NOW).awaitTermination()
 
 
-def raw_ingest(spark: SparkSession, d: str) -> DataFrame:
+def raw_ingest(spark: SparkSession, d: str, batches: int = standins.BATCHES) -> DataFrame:
     layout = Layout(fresh_dir(spark, "raw-ingest"))
-    _run_raw(spark, d, "sales_transactions", layout, with_position=False)
+    _run_raw(spark, d, "sales_transactions", layout, False, batches)
 
     def field(side: str, name: str, dtype: str) -> Column:
         return F.get_json_object(f"{side}_json", f"$.{name}").cast(dtype).alias(f"{side}_{name}")
@@ -204,10 +218,10 @@ def silver_sales_transactions(spark: SparkSession, d: str) -> DataFrame:
 def silver_products(spark: SparkSession, d: str) -> DataFrame:
     """Products after a price change per line item."""
     changes = standins.product_changes(spark, d)
-    state = live(latest_per_key(changes, ["product_id"], ["ts_ms", "l_orderkey", "l_linenumber", "l_suppkey"]))
+    last = latest_per_key(changes, ["product_id"], ["ts_ms", "l_orderkey", "l_linenumber", "l_suppkey"])
     listed = standins.products_snapshot(spark, d).withColumnsRenamed({"unit_price": "_price", "is_active": "_active"})
-    latest = state.select("product_id", "unit_price", "is_active")
-    return listed.join(latest, "product_id", "left").select(
+    latest = last.select("product_id", "op", "unit_price", "is_active")
+    return _open(listed.join(latest, "product_id", "full_outer")).select(
         "product_id",
         "name",
         "category",
@@ -217,11 +231,17 @@ def silver_products(spark: SparkSession, d: str) -> DataFrame:
     )
 
 
+def _open(rows: DataFrame) -> DataFrame:
+    """Rows without a change, and those whose last change is no delete."""
+    return rows.filter(F.coalesce(F.col("op") != "d", F.lit(True)))
+
+
 def silver_stores(spark: SparkSession, d: str) -> DataFrame:
-    """Stores that are still open, each with the state of its last change."""
+    """Stores that are still open, each with the state of its last change if there was one."""
     changes = standins.store_changes(spark, d)
-    state = live(latest_per_key(changes, ["store_id"], ["ts_ms", "l_orderkey", "l_linenumber", "l_partkey"]))
-    return standins.stores_snapshot(spark, d).join(state.select("store_id", "is_active"), "store_id").select(
+    last = latest_per_key(changes, ["store_id"], ["ts_ms", "l_orderkey", "l_linenumber", "l_partkey"])
+    state = last.select("store_id", "op", "is_active")
+    return _open(standins.stores_snapshot(spark, d).join(state, "store_id", "full_outer")).select(
         "store_id", "name", "city", "region", "is_active"
     )
 
@@ -231,10 +251,10 @@ def silver_deletes(spark: SparkSession, d: str) -> DataFrame:
     return last.filter("op = 'd'").select("txn_id", "ts_ms")
 
 
-def silver_stream_sales(spark: SparkSession, d: str) -> DataFrame:
+def silver_stream_sales(spark: SparkSession, d: str, batches: int = standins.BATCHES) -> DataFrame:
     """The sales stream folded in micro-batches."""
     layout = Layout(fresh_dir(spark, "silver-sales"))
-    _run_silver(spark, d, "sales_transactions", layout)
+    _run_silver(spark, d, "sales_transactions", layout, batches)
     return read_silver(spark, layout, SALES).select(*standins.SALE_COLUMNS, "customer_id")
 
 
@@ -251,12 +271,24 @@ def silver_stream_compacted(spark: SparkSession, d: str) -> DataFrame:
     return read_silver(spark, layout, CUSTOMERS).select("customer_id", "name", "loyalty_tier", "total_spend")
 
 
-def independent_streams(spark: SparkSession, d: str) -> DataFrame:
+def silver_late_changes(spark: SparkSession, d: str) -> DataFrame:
+    """Sales whose newer changes, deletes among them, are compacted before the older ones arrive."""
+    layout = Layout(fresh_dir(spark, "silver-late"))
+    inbox = fresh_dir(spark, "late-inbox")
+    records = standins.sale_records(spark, d).withColumn("is_new", F.col("timestamp") >= F.lit("1995-06-17").cast("timestamp"))
+    for newer in (True, False):
+        records.filter(F.col("is_new") == newer).drop("is_new").write.mode("append").json(inbox)
+        start_silver(file_records(spark, inbox), SALES, layout, AVAILABLE_NOW).awaitTermination()
+        compact(spark, layout, SALES)
+    return read_silver(spark, layout, SALES).select(*standins.SALE_COLUMNS, "customer_id")
+
+
+def independent_streams(spark: SparkSession, d: str, batches: int = standins.BATCHES) -> DataFrame:
     """RAW and SILVER of all four tables, each with its own position; rows per table."""
     layout = Layout(fresh_dir(spark, "streams"))
     running = []
     for table, entity in standins.STANDIN_ENTITIES.items():
-        records = _stream(spark, d, table)
+        records = _stream(spark, d, table, batches)
         running.append(start_raw(records, entity, layout, AVAILABLE_NOW))
         running.append(start_silver(records, entity, layout, AVAILABLE_NOW))
     for query in running:
@@ -305,12 +337,11 @@ def customer_loyalty(spark: SparkSession, d: str) -> DataFrame:
 
 def left_join_counts(spark: SparkSession, d: str) -> DataFrame:
     """Pending urgent orders per customer; many customers have none."""
-    urgent = (
-        read_table(spark, d, "orders")
-        .filter("o_orderpriority = '1-URGENT' and o_orderstatus = 'P'")
-        .select(F.col("o_orderkey").alias("txn_id"), F.col("o_custkey").cast("int").alias("customer_id"))
+    urgent = (F.col("o_orderpriority") == "1-URGENT") & (F.col("o_orderstatus") == "P")
+    orders = read_table(spark, d, "orders").select(
+        F.when(urgent, F.col("o_orderkey")).alias("txn_id"), F.col("o_custkey").cast("int").alias("customer_id")
     )
-    return gold.transaction_counts(urgent, standins.customers_snapshot(spark, d)).select(
+    return gold.transaction_counts(orders, standins.customers_snapshot(spark, d)).select(
         "customer_id", "name", "txn_count"
     )
 
@@ -373,19 +404,21 @@ def gold_scan(spark: SparkSession, d: str) -> DataFrame:
     """The published aggregate, read through SQL."""
     layout = Layout(fresh_dir(spark, "gold-scan"))
     publish_gold(spark, layout, "sales_summary", sales_summary(spark, d), _at(SECOND_RUN))
-    serving_view(spark, layout, "sales_summary", SALES_SUMMARY_DDL)
-    return spark.sql("SELECT store_id, product_id, total_qty, total_amount, txn_count FROM sales_summary")
+    view = f"sales_summary_{uuid.uuid4().hex}"
+    serving_view(spark, layout, "sales_summary", SALES_SUMMARY_DDL, view=view)
+    return spark.sql(f"SELECT store_id, product_id, total_qty, total_amount, txn_count, updated_at FROM {view}")
 
 
 def create_if_absent(spark: SparkSession, d: str) -> DataFrame:
     """Catalog tables created twice, filled once."""
     location = fresh_dir(spark, "catalog")
-    database = "gold_" + location.rsplit("-", 1)[1]
+    database = "created_if_absent"
+    spark.sql(f"DROP DATABASE IF EXISTS {database} CASCADE")
     tables = {"sales_summary": SALES_SUMMARY_DDL, "customer_loyalty": CUSTOMER_LOYALTY_DDL}
     create_tables(spark, database, location, tables)
     sales_summary(spark, d).write.insertInto(f"{database}.sales_summary")
     create_tables(spark, database, location, tables)
-    return spark.table(f"{database}.sales_summary").drop("updated_at")
+    return spark.table(f"{database}.sales_summary")
 
 
 # --- impact ----------------------------------------------------------------
@@ -454,23 +487,26 @@ def orphans(spark: SparkSession, d: str) -> DataFrame:
 
 
 def maintenance_report(spark: SparkSession, d: str) -> DataFrame:
-    """Upkeep after three micro-batches of sales and twelve versions of their summary."""
-    layout = Layout(fresh_dir(spark, "maintenance"))
-    _run_silver(spark, d, "sales_transactions", layout)
-    summary = gold.sales_summary(read_silver(spark, layout, SALES), _at(FIRST_RUN))
-    for _ in range(12):
-        publish_gold(spark, layout, "sales_summary", summary)
-    report = maintain(
-        spark, layout, dry_run=False, orphan_age=datetime.timedelta(0), entities=standins.STANDIN_ENTITIES
-    )
-    readable_after = read_silver(spark, layout, SALES).agg(F.count(F.lit(1)).alias("rows_after")).select(
-        F.lit("silver.sales_transactions").alias("table_name"), "rows_after"
-    ).unionByName(
-        read_gold(spark, layout, "sales_summary", SALES_SUMMARY_DDL)
-        .agg(F.count(F.lit(1)).alias("rows_after"))
-        .select(F.lit("gold.sales_summary").alias("table_name"), "rows_after")
-    )
-    return report.select("table_name", "step", "status", "items").join(readable_after, "table_name", "left")
+    """Upkeep of a table for each type of event: expired snapshots, files that nothing refers to, and one failure."""
+    events = read_table(spark, d, "events")
+
+    def steps_of(table: str) -> list:
+        own = events.filter(F.col("event_type") == table)
+        path = F.concat(F.lit("file:/tables/part-"), F.col("event_id").cast("string")).alias("path")
+        listing = own.select(path, F.col("ts").cast("timestamp").alias("modified_at"))
+        history = own.select(
+            F.col("event_type").alias("table_name"),
+            F.col("event_id").alias("snapshot_id"),
+            F.col("ts").cast("timestamp").alias("committed_at"),
+        )
+        return [
+            (table, "expire_snapshots", lambda: retention.expired_snapshots(history).count()),
+            (table, "remove_orphan_files", lambda: retention.orphans(listing, own.filter("value >= 50").select(path)).count()),
+        ]
+
+    steps = [step for table in ("click", "error", "purchase", "signup", "view") for step in steps_of(table)]
+    steps.append(("lost", "expire_snapshots", lambda: retention.expired_snapshots(events).count()))
+    return run_steps(spark, steps).select("table_name", "step", "status", "items")
 
 
 # --- governance ------------------------------------------------------------
@@ -550,6 +586,7 @@ QUERIES = {
     "silver_deletes": silver_deletes,
     "silver_stream_sales": silver_stream_sales,
     "silver_stream_compacted": silver_stream_compacted,
+    "silver_late_changes": silver_late_changes,
     "independent_streams": independent_streams,
     "merge_sales_summary": merge_sales_summary,
     "merge_customer_loyalty": merge_customer_loyalty,

@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping
+import warnings
+from collections.abc import Callable, Mapping
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -16,8 +17,6 @@ from tidefold.sinks.layout import Layout, newest, record_snapshot
 from tidefold.sinks.silver import read_change_log, read_silver
 from tidefold.sources.tables import read_or_empty
 
-# Fixed value: how often the impact check runs.
-TICK = "2 minutes"
 
 
 def seed_graph(spark: SparkSession) -> DataFrame:
@@ -34,6 +33,21 @@ def ensure_graph(spark: SparkSession, layout: Layout) -> DataFrame:
     return read_or_empty(spark, layout.graph, GRAPH_DDL)
 
 
+Reader = Callable[[str], DataFrame]
+
+# How each aggregate is computed, given a reader of current-state tables. Extend it, GOLD and the graph together.
+BUILDERS: dict[str, Callable[[Reader, Column | None], DataFrame]] = {
+    "gold.sales_summary": lambda read, as_of: sales_summary(read("sales_transactions"), as_of),
+    "gold.customer_loyalty": lambda read, as_of: customer_loyalty(read("customers"), read("sales_transactions"), as_of),
+}
+
+
+def unbuildable(graph: DataFrame) -> list[str]:
+    """Aggregates that the graph names and nothing builds; at most one name per aggregate."""
+    known = sorted(set(BUILDERS) & set(GOLD))
+    return [r.gold_table for r in graph.filter(~F.col("gold_table").isin(known)).select("gold_table").distinct().collect()]
+
+
 def build(
     spark: SparkSession,
     layout: Layout,
@@ -42,12 +56,7 @@ def build(
     entities: Mapping[str, Entity] = ENTITIES,
 ) -> DataFrame:
     """Full recomputation of an aggregate from the current state."""
-    transactions = read_silver(spark, layout, entities["sales_transactions"])
-    if gold_table == "gold.sales_summary":
-        return sales_summary(transactions, as_of)
-    if gold_table == "gold.customer_loyalty":
-        return customer_loyalty(read_silver(spark, layout, entities["customers"]), transactions, as_of)
-    raise KeyError(f"no builder for {gold_table}")
+    return BUILDERS[gold_table](lambda table: read_silver(spark, layout, entities[table]), as_of)
 
 
 def refresh_table(
@@ -73,7 +82,7 @@ def refresh_table(
 
 
 def stored_marks(spark: SparkSession, layout: Layout) -> dict[str, int]:
-    """Commit time (microseconds) up to which each table has been handled."""
+    """The last batch of each table that has been handled."""
     found = newest(spark, layout, "control.marks", "marks")
     if found is None:
         return {}
@@ -93,12 +102,17 @@ def refresh(
 
     The marks come from the rows that were read and are stored only after every
     rebuild succeeded: changes committed meanwhile, and failed rebuilds, are
-    seen by the next tick.
+    seen by the next tick.  Edges to an aggregate without a builder are warned
+    of and left out, so that they do not hold up the others.
     """
     graph = ensure_graph(spark, layout)
+    lacking = unbuildable(graph)
+    if lacking:
+        warnings.warn(f"no builder for {sorted(lacking)}", stacklevel=2)
+        graph = graph.filter(~F.col("gold_table").isin(lacking))
     marks = stored_marks(spark, layout)
     # At most one row per captured table.
-    moved = {r.table_name: r.mark for r in advanced_marks(read_change_log(spark, layout), marks).collect()}
+    moved = {r.table_name: r.mark for r in advanced_marks(read_change_log(spark, layout, marks), marks).collect()}
     if not moved:
         return []
     changed = spark.createDataFrame(list(moved.items()), MARKS_DDL)

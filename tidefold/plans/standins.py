@@ -76,7 +76,7 @@ def with_customer(spark: SparkSession, directory: str, sales: DataFrame) -> Data
     orders = read_table(spark, directory, "orders").select(
         F.col("o_orderkey").alias("order_id"), F.col("o_custkey").cast("int").alias("customer_id")
     )
-    return sales.join(orders, "order_id")
+    return sales.join(orders, "order_id", "left")
 
 
 SALE_COLUMNS = ["txn_id", "store_id", "product_id", "qty", "total_amount", "status"]
@@ -110,8 +110,8 @@ def stores_snapshot(spark: SparkSession, directory: str) -> DataFrame:
     region = read_table(spark, directory, "region")
     return (
         read_table(spark, directory, "supplier")
-        .join(nation, F.col("s_nationkey") == F.col("n_nationkey"))
-        .join(region, F.col("n_regionkey") == F.col("r_regionkey"))
+        .join(nation, F.col("s_nationkey") == F.col("n_nationkey"), "left")
+        .join(region, F.col("n_regionkey") == F.col("r_regionkey"), "left")
         .select(
             F.col("s_suppkey").cast("int").alias("store_id"),
             F.col("s_name").alias("name"),
@@ -162,7 +162,8 @@ def customers(spark: SparkSession, directory: str) -> DataFrame:
     )
     changes = start.unionByName(customer_events(spark, directory))
     state = live(latest_per_key(changes, ["customer_id"], ["ts_ms", "offset"]))
-    return state.join(snapshot.select("customer_id", "name"), "customer_id").select(
+    # A customer that a change created has no name here.
+    return state.join(snapshot.select("customer_id", "name"), "customer_id", "left").select(
         "customer_id", "name", "loyalty_tier", "total_spend"
     )
 
@@ -224,20 +225,37 @@ def sale_records(spark: SparkSession, directory: str) -> DataFrame:
 def customer_records(spark: SparkSession, directory: str) -> DataFrame:
     """The customer snapshot followed by the changes, as JSON envelopes."""
     snapshot = customers_snapshot(spark, directory)
-    named = customer_events(spark, directory).join(snapshot.select("customer_id", "name"), "customer_id")
+    named = customer_events(spark, directory).join(snapshot.select("customer_id", "name"), "customer_id", "left")
     return snapshot_records(snapshot, CUSTOMERS, _topic(CUSTOMERS), F.lit(0)).unionByName(
         change_records(named, CUSTOMERS, _topic(CUSTOMERS))
     )
 
 
+def _line_offset(other: str) -> Column:
+    """A position that orders the changes of a key as their columns do."""
+    place = F.col("l_orderkey") * 8 + F.col("l_linenumber")
+    return place * F.lit(1 << 24) + F.col(other)
+
+
 def product_records(spark: SparkSession, directory: str) -> DataFrame:
-    rows = products_snapshot(spark, directory)
-    return snapshot_records(rows, PRODUCTS, _topic(PRODUCTS), F.lit(0), F.col("product_id"))
+    """The products followed by a price change per line item."""
+    listed = products_snapshot(spark, directory)
+    fixed = listed.select("product_id", "name", "category", "brand")
+    changes = product_changes(spark, directory).join(fixed, "product_id", "left")
+    changes = changes.withColumn("offset", _line_offset("l_suppkey"))
+    return snapshot_records(listed, PRODUCTS, _topic(PRODUCTS), F.lit(0)).unionByName(
+        change_records(changes, PRODUCTS, _topic(PRODUCTS))
+    )
 
 
 def store_records(spark: SparkSession, directory: str) -> DataFrame:
-    rows = stores_snapshot(spark, directory)
-    return snapshot_records(rows, STORES, _topic(STORES), F.lit(0), F.col("store_id"))
+    """The stores followed by a change per line item."""
+    listed = stores_snapshot(spark, directory)
+    changes = store_changes(spark, directory).join(listed, "store_id", "left")
+    changes = changes.withColumn("offset", _line_offset("l_partkey"))
+    return snapshot_records(listed, STORES, _topic(STORES), F.lit(0)).unionByName(
+        change_records(changes, STORES, _topic(STORES))
+    )
 
 
 RECORDS = {
@@ -248,28 +266,21 @@ RECORDS = {
 }
 
 
-def land(records: DataFrame, label: str, rows: int, min_files: int = 4) -> tuple[str, int]:
-    """Write records as JSON lines into a new folder; returns it and its number of files.
+def land(records: DataFrame, label: str, batches: int) -> tuple[str, int]:
+    """Write records as JSON lines into a new folder, for a stream of about ``batches`` micro-batches.
 
-    ``rows`` (about how many records there are) only limits the file size, so
-    that a stream over a small table still takes several batches.
+    Returns the folder and the files of a micro-batch.  Their number follows the
+    tasks that run at once and not the size of the data.
     """
     spark = records.sparkSession
     path = fresh_dir(spark, label)
-    per_file = min(1_000_000, -(-rows // min_files))
-    records.write.option("maxRecordsPerFile", per_file).json(path)
-    return path, len(spark.read.text(path).inputFiles())
+    at_once = spark.sparkContext.defaultParallelism
+    records.repartition(at_once * batches).write.json(path)
+    return path, at_once
 
 
-# The benchmark table each stream is made from.
-SOURCE_TABLE = {
-    "customers": "events",
-    "products": "part",
-    "sales_transactions": "lineitem",
-    "stores": "supplier",
-}
+BATCHES = 3
 
 
-def land_table(spark: SparkSession, directory: str, table: str) -> tuple[str, int]:
-    rows = read_table(spark, directory, SOURCE_TABLE[table]).count()
-    return land(RECORDS[table](spark, directory), table, rows)
+def land_table(spark: SparkSession, directory: str, table: str, batches: int = BATCHES) -> tuple[str, int]:
+    return land(RECORDS[table](spark, directory), table, batches)

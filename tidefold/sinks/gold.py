@@ -34,14 +34,14 @@ def publish_gold(
 
 
 def serving_view(
-    spark: SparkSession, layout: Layout, table: str, ddl: str, role: str | None = None
+    spark: SparkSession, layout: Layout, table: str, ddl: str, role: str | None = None, view: str | None = None
 ) -> DataFrame:
-    """Register the newest version under the table's name for SQL readers.
+    """Register the newest version under the table's name, or another, for SQL readers.
 
     With a role, the columns that the role may not read are not part of the view.
     """
     df = read_gold(spark, layout, table, ddl)
     if role is not None:
         df = governed_view(df, role, table)
-    df.createOrReplaceTempView(table)
+    df.createOrReplaceTempView(view or table)
     return df

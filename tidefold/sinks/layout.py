@@ -1,8 +1,9 @@
 """Where tables live, and the list of snapshots that readers may see.
 
-Plain Parquet folders.  A writer first fills a folder of its own, then records
-it as a snapshot; readers follow the records, so a half-written folder is never
-read.  A repeated attempt replaces the record, and folders that no record names
+Plain Parquet folders.  A writer first fills folders of its own, then records
+them as one snapshot; readers follow the records, so nothing half-written is
+read, and all folders of a snapshot become visible together.  A repeated attempt
+adds a record, of which readers follow the newest; folders that no record names
 are left to the removal of orphan files.
 """
 
@@ -15,7 +16,7 @@ from pyspark.sql import functions as F
 
 from tidefold.sources.tables import read_or_empty
 
-SNAPSHOT_DDL = "path STRING, committed_at TIMESTAMP, table_name STRING, kind STRING, snapshot_id BIGINT"
+SNAPSHOT_DDL = "path STRING, log_path STRING, committed_at TIMESTAMP, table_name STRING, kind STRING, snapshot_id BIGINT"
 
 
 @dataclass(frozen=True)
@@ -31,18 +32,14 @@ class Layout:
     def delta(self, table: str, batch_id: int, attempt: str) -> str:
         return f"{self.deltas(table)}/{batch_id}-{attempt}"
 
-    def base(self, table: str, snapshot_id: int) -> str:
-        return f"{self.root}/silver/{table}/base/version={snapshot_id}"
+    def base(self, table: str, snapshot_id: int, attempt: str) -> str:
+        return f"{self.root}/silver/{table}/base/{snapshot_id}-{attempt}"
 
     def gold(self, table: str, version: int) -> str:
         return f"{self.root}/gold/{table}/version={version}"
 
-    @property
-    def change_log(self) -> str:
-        return f"{self.root}/control/change_log"
-
-    def change_log_batch(self, table: str, batch_id: int) -> str:
-        return f"{self.change_log}/table_name={table}/snapshot_id={batch_id}"
+    def change_log(self, table: str, batch_id: int, attempt: str) -> str:
+        return f"{self.root}/silver/{table}/log/{batch_id}-{attempt}"
 
     @property
     def snapshots(self) -> str:
@@ -68,14 +65,33 @@ class Layout:
 
 
 def record_snapshot(
-    spark: SparkSession, layout: Layout, table: str, kind: str, snapshot_id: int, path: str, committed_at: Column
+    spark: SparkSession,
+    layout: Layout,
+    table: str,
+    kind: str,
+    snapshot_id: int,
+    path: str,
+    committed_at: Column,
+    log_path: str | None = None,
 ) -> None:
-    row = spark.range(1).select(F.lit(path).alias("path"), committed_at.cast("timestamp").alias("committed_at"))
-    row.coalesce(1).write.mode("overwrite").parquet(layout.snapshot(table, kind, snapshot_id))
+    row = spark.range(1).select(
+        F.lit(path).alias("path"),
+        F.lit(log_path).cast("string").alias("log_path"),
+        committed_at.cast("timestamp").alias("committed_at"),
+    )
+    row.coalesce(1).write.mode("append").parquet(layout.snapshot(table, kind, snapshot_id))
 
 
 def snapshots(spark: SparkSession, layout: Layout) -> DataFrame:
-    return read_or_empty(spark, layout.snapshots, SNAPSHOT_DDL)
+    """One row per snapshot: the newest record of those that its attempts have left."""
+    columns = [c.split()[0] for c in SNAPSHOT_DDL.split(", ")]
+    return (
+        read_or_empty(spark, layout.snapshots, SNAPSHOT_DDL)
+        .groupBy("table_name", "kind", "snapshot_id")
+        .agg(F.max(F.struct("committed_at", "path", "log_path")).alias("_newest"))
+        .select("table_name", "kind", "snapshot_id", "_newest.*")
+        .select(*columns)
+    )
 
 
 def newest(spark: SparkSession, layout: Layout, table: str, kind: str) -> tuple[int, str] | None:
