@@ -80,6 +80,8 @@ def remove_widespread_lines(
     lines = _lines(rows)
     spread = lines.groupBy("key").agg(F.min("site").alias("lo"), F.max("site").alias("hi"), F.min("id").alias("first"))
     spread = spread.filter(F.col("lo") != F.col("hi")).select("key", "first")
+    # Dealt anew, and not joined where they were aggregated: Spark then splits a line that a third of all rows hold.
+    spread = settled(spread.repartition("first"))
     met = settled(lines.join(spread, "key"))
     doomed = met.join(widespread(met.select("key", "site"), min_sites), "key", "left_semi")
     others = doomed.filter(F.coalesce(F.col("id") != F.col("first"), F.col("first").isNotNull()))
