@@ -127,11 +127,13 @@ def links(fps: DataFrame) -> DataFrame:
 
 
 def _grouped(rows: DataFrame) -> DataFrame:
-    """The distinct fingerprints of ``rows`` with the ``root`` of their group and the ``least`` id that has them."""
-    distinct = rows.groupBy("fp").agg(F.min("doc_id").alias("least"))
+    """The distinct fingerprints of ``rows`` with the ``root`` of their group, the ``least`` id that has them, and
+    the ``first`` document (``last`` is true for a NULL id) in the order of ids."""
+    order = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "mark")
+    distinct = rows.groupBy("fp").agg(F.min("doc_id").alias("least"), F.min(order).alias("first"))
     roots = components(links(distinct.select("fp")))
     placed = distinct.join(roots, distinct.fp == roots.id, "left")
-    return placed.select("fp", "least", F.coalesce("root", "fp").alias("root"))
+    return placed.select("fp", "least", "first", F.coalesce("root", "fp").alias("root"))
 
 
 def near_duplicates(
@@ -166,7 +168,6 @@ def keep_first(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", widt
     """
     missing(docs, doc_id, text)
     rows = settled(fingerprints(docs, doc_id, text, width))
-    order = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "mark")
-    chosen = rows.join(_grouped(rows).select("fp", "root"), "fp").groupBy("root").agg(F.min(order).alias("k"))
+    chosen = _grouped(rows).groupBy("root").agg(F.min("first").alias("k"))
     chosen = chosen.select(F.col("k.doc_id").alias("id"), F.col("k.mark").alias("mark"))
     return matched(docs, chosen, doc_id, text).select("row.*")
