@@ -32,18 +32,25 @@ BLOCKS = 4
 LIST_LENGTH = 64
 
 
+def shingle_hashes(words: list[bytes], width: int) -> np.ndarray:
+    """The hashes of all shingles of one word or more, in order; fewer than ``width`` words are one shingle."""
+    joined = b" ".join(words)
+    if len(words) <= width:
+        return np.array([xxhash.xxh64_intdigest(joined, SEED)], np.uint64)
+    ends = [e - 1 for e in accumulate(len(w) + 1 for w in words)]
+    starts = [0, *(e + 1 for e in ends[: len(words) - width])]
+    digest = xxhash.xxh64_intdigest
+    return np.array([digest(joined[a:b], SEED) for a, b in zip(starts, ends[width - 1 :], strict=True)], np.uint64)
+
+
 def fingerprint(text: bytes | None, width: int = SHINGLE) -> int:
     """The SimHash of a UTF-8 text as a signed number; 0 without words."""
     words = (text or b"").lower().split()  # ASCII letters and ASCII white space only
     if not words:
         return 0
-    joined = b" ".join(words)
+    hashes = shingle_hashes(words, width)
     if len(words) <= width:
-        return int(np.uint64(xxhash.xxh64_intdigest(joined, SEED)).astype(np.int64))
-    ends = [e - 1 for e in accumulate(len(w) + 1 for w in words)]
-    starts = [0, *(e + 1 for e in ends[: len(words) - width])]
-    digest = xxhash.xxh64_intdigest
-    hashes = np.array([digest(joined[a:b], SEED) for a, b in zip(starts, ends[width - 1 :], strict=True)], np.uint64)
+        return int(hashes.view(np.int64)[0])
     ones = np.zeros(64, np.int64)
     for part in range(0, len(hashes), 1 << 16):  # bounds the memory of a very long text
         rows = hashes[part : part + (1 << 16)].view(np.uint8).reshape(-1, 8)
