@@ -67,3 +67,23 @@ def test_keys_differ_between_templates():
 def test_empty(spark):
     assert scan_licenses(frame(spark, [])).count() == 0
     assert scan_licenses(frame(spark, corpus()), templates={}).count() == 0
+
+
+def test_short_notices(spark):
+    rows = [
+        (1, "All rights reserved.", "en", "a"),
+        (2, prose(1, 9) + "\nALL  RIGHTS-RESERVED, " + prose(2, 9), "en", "a"),
+        (3, "All rights are reserved. Overall rights reserved.", "en", "a"),
+        (4, "// SPDX-License-Identifier: MIT", "en", "a"),
+        (5, "rights reserved", "en", "a"),
+        (6, TEMPLATES["MIT-line"] + " All rights reserved.", "en", "a"),
+    ]
+    found = scan_licenses(frame(spark, awkward_rows() + rows), templates=TEMPLATES | licenses.SHORT_NOTICES)
+    assert sorted(map(tuple, found.collect())) == [
+        (1, "All-rights-reserved", 1, 1.0, 0),
+        (2, "All-rights-reserved", 1, 1.0, 9),
+        (4, "MIT-tag", 1, 1.0, 0),
+        (6, "All-rights-reserved", 1, 1.0, 5),
+        (6, "MIT-line", 1, 1.0, 0),
+    ]
+    assert shingles("All rights reserved.") == ["all rights reserved"]

@@ -70,14 +70,31 @@ TEMPLATES: dict[str, str] = {
     ),
     "Unlicense-grant": "This is free and unencumbered software released into the public domain.",
 }
+# Notices of fewer than WIDTH words, each a single shingle of its own length.
+SHORT_NOTICES: dict[str, str] = {
+    "All-rights-reserved": "All rights reserved.",
+    "ISC-tag": "SPDX-License-Identifier: ISC",
+    "MIT-tag": "SPDX-License-Identifier: MIT",
+    "Unlicense-tag": "SPDX-License-Identifier: Unlicense",
+}
 
 
-def shingles(text: str) -> list[str]:
-    """The distinct shingles of a template, in order; a template needs WIDTH words at least."""
+def _words(text: str) -> list[str]:
     words = "".join(c if c.isalnum() else " " for c in text.lower()).split()
-    if len(words) < WIDTH:
-        raise ValueError(f"a template of fewer than {WIDTH} words: {text}")
-    return list(dict.fromkeys(" ".join(words[i : i + WIDTH]) for i in range(len(words) - WIDTH + 1)))
+    if not words:
+        raise ValueError(f"a template without words: {text!r}")
+    return words
+
+
+def width_of(text: str) -> int:
+    """The words in a shingle of a template: WIDTH, or all of a shorter template."""
+    return min(WIDTH, len(_words(text)))
+
+
+def shingles(text: str) -> list[str]:
+    """The distinct shingles of a template, in order; fewer than WIDTH words are one shingle."""
+    words, width = _words(text), width_of(text)
+    return list(dict.fromkeys(" ".join(words[i : i + width]) for i in range(len(words) - width + 1)))
 
 
 def _signed(x: int) -> int:
@@ -119,7 +136,16 @@ def _slices(templates: Mapping[str, str]) -> list[dict[str, set[int]]]:
     return slices
 
 
-def _scanned(hashed: DataFrame, templates: Mapping[str, str], keys: Mapping[str, set[int]]) -> DataFrame:
+def _hashed(rows: DataFrame, width: int) -> DataFrame:
+    rows = rows.filter(F.size("words") >= width)
+    hashes = F.transform(
+        F.sequence(F.lit(0), F.size("words") - width),
+        lambda i: F.xxhash64(F.concat_ws(" ", *[F.get(F.col("words"), i + k) for k in range(width)])),
+    )
+    return stage(rows, hashes=hashes)
+
+
+def _scanned(hashed: DataFrame, templates: Mapping[str, str], keys: Mapping[str, set[int]], width: int) -> DataFrame:
     short = {n for n in keys if len(shingles(templates[n])) < SHORT}
     none = F.array().cast("array<bigint>")
     sought = lambda names: sorted({k for n in names for k in keys[n]})
@@ -139,8 +165,8 @@ def _scanned(hashed: DataFrame, templates: Mapping[str, str], keys: Mapping[str,
     )
     retrieved = F.filter(known, lambda t: F.arrays_overlap(t["keys"], F.col("met_once")))
     own = F.transform(
-        F.sequence(F.lit(0), F.size("words") - WIDTH),
-        lambda i: F.concat_ws(" ", *[F.get(F.col("words"), i + k) for k in range(WIDTH)]),
+        F.sequence(F.lit(0), F.size("words") - width),
+        lambda i: F.concat_ws(" ", *[F.get(F.col("words"), i + k) for k in range(width)]),
     )
     found = stage(met, own=own, retrieved=retrieved)
     found = found.select("row", "own", F.inline("retrieved"))
@@ -159,23 +185,25 @@ def scan_licenses(
     ``license_id``, ``shared`` (shingles), ``containment`` and ``first_word``, the place of the first shared shingle
     in the document. Words are runs of letters and digits, in lower case.
 
-    * NULL, empty texts and those of fewer than five words hold no template and give no row.
+    * NULL and empty texts, and those with fewer words than a shingle of the template, give no row.
     * NULL keys are kept; repeated rows are scanned one by one and give repeated rows.
     * A template that occurs many times in a document gives one row. Very long texts are scanned whole.
-    * Templates must have five words; any number of them is taken, KEYS_AT_ONCE keys in a pass.
+    * A template of fewer than WIDTH words is one shingle of its own length, so it is held whole or not at all; each
+      such length takes a pass. Any number of templates is taken, KEYS_AT_ONCE keys in a pass.
     * Other columns are ignored, whatever their names. An empty table, or no template, gives no rows.
     """
     missing(docs, text, *keys)
     body = F.lower(F.coalesce(F.col(text), F.lit("")))
     words = F.array_remove(F.split(body, NO_WORD), "")
     rows = stage(docs.select(F.struct(*keys).alias("row"), F.col(text)), words=words).select("row", "words")
-    rows = rows.filter(F.size("words") >= WIDTH)
-    hashes = F.transform(
-        F.sequence(F.lit(0), F.size("words") - WIDTH),
-        lambda i: F.xxhash64(F.concat_ws(" ", *[F.get(F.col("words"), i + k) for k in range(WIDTH)])),
-    )
-    hashed = stage(rows, hashes=hashes)
-    parts = [_scanned(hashed, templates, part) for part in _slices(templates) if part]
+    widths: dict[int, dict[str, str]] = {}
+    for name, body in templates.items():
+        widths.setdefault(width_of(body), {})[name] = body
+    parts = [
+        _scanned(_hashed(rows, width), alike, part, width)
+        for width, alike in widths.items()
+        for part in _slices(alike)
+    ]
     if not parts:
         kind = rows.schema["row"].dataType.simpleString()
         schema = f"row {kind}, license_id string, shared long, containment double, first_word long"

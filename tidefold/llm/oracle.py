@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from tidefold.llm.chat import CLOSE, OPEN, TRAINED_ROLE
-from tidefold.llm.licenses import LEAST, NO_WORD, TEMPLATES
+from tidefold.llm.licenses import LEAST, NO_WORD, SHORT_NOTICES as SHORT, TEMPLATES
 from tidefold.llm.linededup import MIN_SITES
 from tidefold.llm.quality import RULES, STOP_WORDS
 
@@ -132,3 +132,18 @@ met as (
 select doc_id, license_id, shared::bigint as shared, shared / n::double as containment, first_word::bigint as first_word
 from met join sizes using (license_id) where shared / n::double >= {LEAST}
 """
+
+SHORT_NOTICES = rf"""
+with t(license_id, notice) as (values {", ".join("('" + n + "', '" + b.replace("'", "''") + "')" for n, b in SHORT.items())}),
+wanted as (
+    select license_id, ' ' || trim(regexp_replace(lower(notice), '{NO_WORD}', ' ', 'g')) || ' ' as s from t
+),
+texts as (
+    select doc_id, ' ' || trim(regexp_replace(lower(coalesce(text, '')), '{NO_WORD}', ' ', 'g')) || ' ' as body
+    from documents
+),
+met as (select doc_id, license_id, left(body, strpos(body, s)) as before from texts join wanted on contains(body, s))
+select doc_id, license_id, 1::bigint as shared, 1::double as containment,
+    (length(before) - length(replace(before, ' ', '')) - 1)::bigint as first_word
+from met
+"""

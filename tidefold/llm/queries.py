@@ -11,7 +11,7 @@ from tidefold.llm import oracle
 from tidefold.llm.ann import nearest
 from tidefold.llm.chat import conversations, format_pairs, weakened
 from tidefold.llm.langid import fit, identify
-from tidefold.llm.licenses import scan_licenses
+from tidefold.llm.licenses import SHORT_NOTICES, scan_licenses
 from tidefold.llm.linededup import remove_widespread_lines
 from tidefold.llm.mixing import mix
 from tidefold.llm.packing import pack
@@ -45,6 +45,11 @@ def op4_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scan_licenses(_table(spark, sf_dir, "documents"))
 
 
+def op4_short_notices(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The notices of fewer than five words, which the SQL of op4_licenses leaves out."""
+    return scan_licenses(_table(spark, sf_dir, "documents"), templates=SHORT_NOTICES)
+
+
 def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return remove_widespread_lines(_table(spark, sf_dir, "documents")).select("doc_id", "text", "removed_lines")
 
@@ -81,6 +86,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_packing": op5_packing,
     "op3_nearest": op3_nearest,
     "op4_licenses": op4_licenses,
+    "op4_short_notices": op4_short_notices,
     "op6_line_dedup": op6_line_dedup,
     "op7_token_counts": op7_token_counts,
     "op8_chat_format": op8_chat_format,
@@ -90,6 +96,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 
 ORACLE: dict[str, str] = {
     "op4_licenses": oracle.LICENSES,
+    "op4_short_notices": oracle.SHORT_NOTICES,
     "op6_line_dedup": oracle.LINE_DEDUP,
     "op8_chat_format": oracle.CHAT_FORMAT,
     "op10_quality_rules": oracle.QUALITY_RULES,
