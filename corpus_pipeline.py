@@ -12,9 +12,9 @@ from pyspark.sql import functions as F
 
 from tidefold.llm.linededup import remove_widespread_lines
 from tidefold.llm.mixing import mixed
-from tidefold.llm.nearcopies import keep_first_copy
 from tidefold.llm.packing import pack
 from tidefold.llm.quality import keep_good
+from tidefold.llm.simhash import SHINGLE, keep_first
 from tidefold.session import fresh_dir
 
 
@@ -24,14 +24,17 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Lines that spread over sites stay in one document only; all documents stay."""
-    cleaned = remove_widespread_lines(docs).drop("removed_lines")
-    return cleaned.withColumn("n_chars", F.length("text").cast("long")).select(*docs.columns)
+    """Lines that spread over sites stay in one document only; all documents stay, with all their other columns."""
+    # The other columns travel in a struct, so that none meets a column that the operator adds.
+    rest = F.struct(*[c for c in docs.columns if c not in ("text", "n_chars")]).alias("rest")
+    cleaned = remove_widespread_lines(docs.select("doc_id", "text", "source", rest))
+    new = {"text": F.col("text"), "n_chars": F.length("text").cast("long")}
+    return cleaned.select(*[new.get(c, F.col("rest").getField(c)).alias(c) for c in docs.columns])
 
 
 def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates stays: five-word shingles, similarity 0.8 or more."""
-    return keep_first_copy(docs)
+    """One document of each group stays: three-word shingles, fingerprints linked at two differing bits or fewer."""
+    return keep_first(docs, width=SHINGLE)
 
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
