@@ -3,7 +3,7 @@ from __future__ import annotations
 from collections import Counter
 
 import numpy as np
-from llm_data import WORD, awkward_rows, frame, prose
+from llm_data import EXTRA, WORD, awkward_rows, frame, prose
 from test_llm_lines import brute as brute_lines
 from test_llm_packing import check
 from test_llm_quality import counts
@@ -14,7 +14,8 @@ from tidefold.llm.quality import STOP_WORDS
 
 
 def corpus():
-    rows = [r for r in awkward_rows() if r[0] is not None]
+    rows = awkward_rows()
+    rows += [(None, prose(21, 70), "en", "s1"), (None, prose(9, 200), None, None)]
     for k in range(60):
         menu = f"Home About Contact {k % 4}"
         rows.append((100 + k, f"{menu}\n{prose(k, 60 + k)}\n{prose(k + 500, 30)}", "en", f"s{k % 6}"))
@@ -33,7 +34,7 @@ def test_stages_one_by_one(spark):
     assert len(names) == 5 and corpus_pipeline.ORACLE_SQL is None
     quality, lines, near, mixing, packing = (f for _, f in corpus_pipeline.STAGES)
     rows = corpus()
-    docs = frame(spark, rows).select("doc_id", "text", "lang", "source", "n_chars")
+    docs = frame(spark, rows)  # with extra columns, whose names the operators use inside
 
     good = quality(spark, docs, "")
     wanted = []
@@ -51,15 +52,16 @@ def test_stages_one_by_one(spark):
     assert sorted(((r.doc_id, r.text) for r in cleaned.collect()), key=repr) == sorted(
         ((i, t) for i, t, _ in brute_lines(wanted, 3)), key=repr
     )
-    assert all(r.n_chars == len(r.text) for r in cleaned.collect())
+    assert all(r.n_chars == len(r.text) and r.removed_lines == EXTRA[7] for r in cleaned.collect())
 
     single = near(spark, cleaned, "")
     before = documents(cleaned)
     roots = brute_roots([brute_fingerprint(t) for _, t, _, _ in before])
     groups = {}
     for row, root in zip(before, roots):
-        groups[root] = min(groups.get(root, row), row)
-    assert sorted(r[0] for r in documents(single)) == sorted(g[0] for g in groups.values())
+        groups[root] = min(groups.get(root, (True, 0)), (row[0] is None, row[0] or 0))
+    kept = documents(single)
+    assert sorted((r[0] is None, r[0] or 0) for r in kept) == sorted(groups.values()) and set(kept) <= set(before)
 
     mix = mixing(spark, single, "")
     assert mix.columns == docs.columns
