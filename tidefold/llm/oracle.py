@@ -147,3 +147,132 @@ select doc_id, license_id, 1::bigint as shared, 1::double as containment,
     (length(before) - length(replace(before, ' ', '')) - 1)::bigint as first_word
 from met
 """
+
+
+# Brute force over all pairs of an anchor and another row. Vectors are numbered by themselves: ids may repeat.
+HARD_NEGATIVES = """
+WITH usable AS (
+  SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+         list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS v
+  FROM embeddings
+  WHERE label IS NOT NULL AND embedding IS NOT NULL
+    AND len(list_filter(embedding, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0
+), component AS (
+  SELECT vec_id, label, unnest(v) AS x, unnest(range(1, len(v) + 1)) AS pos FROM usable
+), scored AS (
+  SELECT a.vec_id AS anchor_id, a.label AS anchor_label, b.vec_id, b.label, CAST(sum(a.x * b.x) AS BIGINT) AS score
+  FROM component a JOIN component b ON a.pos = b.pos AND a.vec_id <> b.vec_id
+  WHERE a.vec_id % 100 = 0
+  GROUP BY 1, 2, 3, 4
+), ranked AS (
+  SELECT anchor_id, vec_id AS positive_id, score AS positive_score,
+         row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, vec_id) AS place
+  FROM scored WHERE label = anchor_label
+), windowed AS (
+  SELECT p.anchor_id, p.positive_id, s.vec_id AS negative_id, p.positive_score, s.score AS negative_score,
+         row_number() OVER (PARTITION BY p.anchor_id, p.positive_id ORDER BY s.score DESC, s.vec_id) AS rank
+  FROM ranked p JOIN scored s ON p.anchor_id = s.anchor_id AND s.label <> s.anchor_label
+  WHERE p.place <= 5 AND 30 * p.positive_score <= 100 * s.score AND 100 * s.score <= 90 * p.positive_score
+)
+SELECT anchor_id, positive_id, CAST(rank AS INTEGER) AS rank, negative_id, positive_score, negative_score
+FROM windowed WHERE rank <= 10
+"""
+
+
+def _clusters(rounds: int) -> str:
+    """Every round as two tables: the nearest centroid of each vector, and the centroids after it."""
+    steps = []
+    for n in range(rounds + 1):
+        steps.append(f"""near{n} AS MATERIALIZED (
+  SELECT vec_id, CAST(c.cluster AS INTEGER) AS cluster, sum((p.x - c.x) * (p.x - c.x)) AS distance
+  FROM component p JOIN centre{n} c ON p.pos = c.pos GROUP BY p.vec_id, c.cluster
+), own{n} AS MATERIALIZED (
+  SELECT vec_id, cluster, CAST(distance AS BIGINT) AS distance FROM (
+    SELECT *, row_number() OVER (PARTITION BY vec_id ORDER BY distance, cluster) AS place FROM near{n}) WHERE place = 1
+)""")
+        if n < rounds:
+            steps.append(f"""moved{n} AS MATERIALIZED (
+  SELECT o.cluster, p.pos, sum(p.x) AS total, count(*) AS n
+  FROM own{n} o JOIN component p ON o.vec_id = p.vec_id GROUP BY o.cluster, p.pos
+), centre{n + 1} AS MATERIALIZED (
+  SELECT c.cluster, c.pos, CASE WHEN m.n IS NULL THEN c.x
+    ELSE CAST((m.total - ((m.total % m.n) + m.n) % m.n) // m.n AS BIGINT) END AS x
+  FROM centre{n} c LEFT JOIN moved{n} m ON c.cluster = m.cluster AND c.pos = m.pos
+)""")
+    return ", ".join(steps)
+
+
+CLUSTERS = f"""
+WITH kept AS MATERIALIZED (
+  SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(1024 * CAST(x AS DOUBLE)) AS BIGINT)) AS v
+  FROM embeddings
+  WHERE len(embedding) = 64 AND len(list_filter(embedding, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0
+), component AS MATERIALIZED (
+  SELECT vec_id, unnest(v) AS x, unnest(range(1, 65)) AS pos FROM kept
+), started AS MATERIALIZED (
+  SELECT vec_id, row_number() OVER (ORDER BY sha256('3:' || CAST(vec_id AS VARCHAR))) AS place FROM kept
+), centre0 AS MATERIALIZED (
+  SELECT s.place - 1 AS cluster, p.pos, p.x FROM started s JOIN component p ON s.vec_id = p.vec_id WHERE s.place <= 8
+), {_clusters(10)}, named AS (
+  SELECT cluster, sha256(string_agg(CAST(x AS VARCHAR), ',' ORDER BY pos)) AS centroid_sha256 FROM centre10 GROUP BY cluster
+)
+SELECT o.vec_id, o.cluster, o.distance,
+       CAST(sum(o.distance) OVER (PARTITION BY o.cluster) AS BIGINT) AS cluster_inertia,
+       CAST(sum(o.distance) OVER () AS BIGINT) AS inertia, n.centroid_sha256
+FROM own10 o JOIN named n ON o.cluster = n.cluster
+"""
+
+
+# Kind, expression, group whose length counts, and its least length, in the order of the kinds.
+_SECRETS = (
+    (
+        "assign",
+        r"([pP][aA][sS][sS][wW][oO][rR][dD]|[pP][aA][sS][sS][wW][dD]|[sS][eE][cC][rR][eE][tT]|[tT][oO][kK][eE][nN]"
+        r"|[aA][pP][iI]_?[kK][eE][yY])[\"'']?\x20*[:=]\x20*[\"'']?([A-Za-z0-9+/_.=-]+)",
+        2, 6,
+    ),
+    ("access", r"AKIA[A-Z0-9]+", 0, 20),
+    ("hex", r"[0-9a-f]{24,}", 0, 24),
+    ("private_key", r"-----BEGIN [A-Z0-9 ]*PRIVATE KEY-----", 0, 1),
+    ("github", r"gh[pousr]_[A-Za-z0-9]{36,}", 0, 1),
+    ("google", r"AIza[A-Za-z0-9_-]{35,}", 0, 1),
+    ("slack", r"xox[abprs]-[A-Za-z0-9-]{10,}", 0, 1),
+    ("jwt", r"eyJ[A-Za-z0-9_-]{8,}\.eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]+", 0, 1),
+    ("url_login", r"[a-z]{2,12}://[A-Za-z0-9._-]+:[A-Za-z0-9._%-]{6,}@", 0, 1),
+)
+
+
+def _secret_spans() -> str:
+    """Every match of each kind: between the matches lie the parts that they split the text into."""
+    parts = []
+    for n, (kind, pattern, group, least) in enumerate(_SECRETS):
+        parts.append(f"""
+  SELECT row, {n} AS n, '{kind}' AS kind, s."start" AS "start", s."end" AS "end" FROM (
+    SELECT row, unnest(list_transform(range(1, len(m) + 1), lambda i: {{
+      'start': list_sum(list_transform(gaps[1:i], lambda g: length(g))) + list_sum(list_transform(m[1:i], lambda g: length(g))) - length(m[i]),
+      'end': list_sum(list_transform(gaps[1:i], lambda g: length(g))) + list_sum(list_transform(m[1:i], lambda g: length(g))),
+      'own': length(o[i])}})) AS s
+    FROM (
+      SELECT row, regexp_extract_all(body, '{pattern}') AS m, regexp_extract_all(body, '{pattern}', {group}) AS o,
+             regexp_split_to_array(body, '{pattern}') AS gaps
+      FROM texts WHERE regexp_matches(body, '{pattern}'))) WHERE s.own >= {least}""")
+    return " UNION ALL ".join(parts)
+
+
+SECRETS = f"""
+WITH texts AS MATERIALIZED (
+  SELECT row_number() OVER () AS row, doc_id, coalesce(text, '') AS body FROM documents
+), span AS MATERIALIZED ({_secret_spans()}
+), told AS (
+  SELECT row, n, "start", kind || ':' || CAST("start" AS BIGINT) || ':' || CAST("end" AS BIGINT) AS told FROM span
+), whole AS (
+  SELECT row, string_agg(told, ',' ORDER BY "start", n) AS spans,
+         string_agg(told, ',' ORDER BY "start", n) FILTER (WHERE n < 3) AS base,
+         count(*) FILTER (WHERE n = 0) AS n_assign, count(*) FILTER (WHERE n = 1) AS n_access,
+         count(*) FILTER (WHERE n = 2) AS n_hex
+  FROM told GROUP BY row
+)
+SELECT t.doc_id, coalesce(n_assign, 0) AS n_assign, coalesce(n_access, 0) AS n_access, coalesce(n_hex, 0) AS n_hex,
+       sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans
+FROM texts t LEFT JOIN whole w ON t.row = w.row
+"""

@@ -10,12 +10,15 @@ from pyspark.sql import functions as F
 from tidefold.llm import oracle
 from tidefold.llm.ann import nearest
 from tidefold.llm.chat import conversations, format_pairs, weakened
+from tidefold.llm.clustering import cluster
 from tidefold.llm.langid import fit, identify
 from tidefold.llm.licenses import SHORT_NOTICES, scan_licenses
 from tidefold.llm.linededup import remove_widespread_lines
 from tidefold.llm.mixing import mix
+from tidefold.llm.negatives import hard_negatives
 from tidefold.llm.packing import pack
 from tidefold.llm.quality import quality_rules
+from tidefold.llm.secretscan import BASE, find_secrets
 from tidefold.llm.simhash import near_duplicates
 from tidefold.llm.tokencount import token_counts
 
@@ -80,6 +83,25 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules(_table(spark, sf_dir, "documents")).drop("failed_rules")
 
 
+def op11_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return hard_negatives(_table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0, label=label)
+
+
+def op12_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Spans as text: kind, start and end."""
+    found = find_secrets(_table(spark, sf_dir, "documents"))
+    texts = lambda spans: F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"])), ",")
+    of_kind = lambda *kinds: F.filter("spans", lambda s: s["kind"].isin(*kinds))
+    counts = [F.size(of_kind(k)).cast("long").alias(f"n_{k}") for k in BASE]
+    base = F.sha2(texts(of_kind(*BASE)).cast("binary"), 256).alias("base_sha256")
+    return found.select("doc_id", *counts, base, texts(F.col("spans")).alias("spans"))
+
+
+def op13_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return cluster(_table(spark, sf_dir, "embeddings"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_mixing": op1_mixing,
     "op2_simhash": op2_simhash,
@@ -92,6 +114,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_chat_format": op8_chat_format,
     "op9_language_id": op9_language_id,
     "op10_quality_rules": op10_quality_rules,
+    "op11_hard_negatives": op11_hard_negatives,
+    "op12_secrets": op12_secrets,
+    "op13_clusters": op13_clusters,
 }
 
 ORACLE: dict[str, str] = {
@@ -100,4 +125,7 @@ ORACLE: dict[str, str] = {
     "op6_line_dedup": oracle.LINE_DEDUP,
     "op8_chat_format": oracle.CHAT_FORMAT,
     "op10_quality_rules": oracle.QUALITY_RULES,
+    "op11_hard_negatives": oracle.HARD_NEGATIVES,
+    "op12_secrets": oracle.SECRETS,
+    "op13_clusters": oracle.CLUSTERS,
 }
