@@ -8,7 +8,7 @@ from llm_data import awkward_rows, frame, prose
 from tokenizers import Tokenizer
 
 from tidefold.llm.bpe import Encoder, default_path
-from tidefold.llm.packing import assign, pack
+from tidefold.llm.packing import assign, capacities, cost, pack
 
 ODD = ["", " ", "  a  b", "a\n b", "\n\n x", "don't we'll  x", "a\x1cb \x1c c", "x \x85 y", "é ü 漢字 😀 a😀b c", "x <|endoftext|> y"]
 
@@ -68,5 +68,33 @@ def test_assignment_balances_cost():
     assert sum(lengths) // 1024 <= n <= sum(lengths) // 1024 + 10
 
 
+def brute_assign(lengths, size):
+    """The rule in words: look at all sequences each time."""
+    room = capacities(sum(lengths), size)
+    spent, filled, pieces = [0.0] * len(room), [0] * len(room), []
+    for item in sorted(range(len(lengths)), key=lambda i: (-lengths[i], i)):
+        start, left = 0, lengths[item]
+        while left:
+            fits = [s for s in range(len(room)) if room[s] >= left] or [s for s in range(len(room)) if room[s]]
+            s = min(fits, key=lambda s: (spent[s], s))
+            taken = min(left, room[s])
+            pieces.append((item, start, taken, s, filled[s]))
+            start, left, room[s], filled[s] = start + taken, left - taken, room[s] - taken, filled[s] + taken
+            spent[s] += cost(taken)
+    return pieces, len(room)
+
+
+def test_assignment_is_the_rule():
+    pick = random.Random(6)
+    draws = (lambda: pick.randint(1, 1023), lambda: min(1023, int(pick.lognormvariate(5, 1)) + 1), lambda: pick.choice([1, 2, 512, 1000]))
+    for draw in draws:
+        for n in (0, 1, 2, 7, 300):
+            lengths = [draw() for _ in range(n)]
+            assert assign(lengths, 1024) == brute_assign(lengths, 1024)
+    for size in (1, 2, 3, 8, 100):
+        lengths = [pick.randint(1, size) for _ in range(60)]
+        assert assign(lengths, size) == brute_assign(lengths, size)
+
+
 def test_empty_table(spark):
     assert pack(frame(spark, [])).count() == 0

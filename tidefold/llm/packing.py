@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
-from heapq import heapify, heappop, heappush
+from heapq import heappop, heappush
 
 import pyarrow as pa
 from pyspark import TaskContext
@@ -19,8 +19,6 @@ END_ID = 0
 GROUP = 4096
 # Cost of attention within a piece of n tokens: n + n * n / QUADRATIC_AT.
 QUADRATIC_AT = 6144
-# Sequences that are looked at for one that takes a remainder whole.
-LOOK = 16
 
 SCHEMA = "doc_id long, start long, length long, ids binary, doc_tokens long, sequence_id long, offset long"
 
@@ -36,31 +34,65 @@ def capacities(tokens: int, size: int) -> list[int]:
     return [size] * full + tail
 
 
+class Sequences:
+    """Sequences with room left, and the cheapest of those that have a given room at least.
+
+    A heap for each room holds (cost, sequence); a tree over the rooms holds the least of the heaps below each node.
+    """
+
+    NONE = (float("inf"), -1)
+
+    def __init__(self, size: int) -> None:
+        self.width = 1 << size.bit_length()
+        self.heaps: list[list[tuple[float, int]]] = [[] for _ in range(self.width)]
+        self.tree = [self.NONE] * (2 * self.width)
+
+    def _lift(self, room: int) -> None:
+        at = room + self.width
+        self.tree[at] = self.heaps[room][0] if self.heaps[room] else self.NONE
+        while at > 1:
+            at >>= 1
+            self.tree[at] = min(self.tree[2 * at], self.tree[2 * at + 1])
+
+    def put(self, room: int, cost: float, sequence: int) -> None:
+        heappush(self.heaps[room], (cost, sequence))
+        self._lift(room)
+
+    def take(self, least_room: int, rooms: list[int]) -> tuple[float, int] | None:
+        """Remove the cheapest with ``least_room``; of equal costs the first. None if none has it."""
+        at = least_room + self.width
+        best = self.tree[at]
+        while at > 1:  # the right siblings on the way up cover all larger rooms
+            if not at & 1:
+                best = min(best, self.tree[at + 1])
+            at >>= 1
+        if best is self.NONE:
+            return None
+        heappop(self.heaps[rooms[best[1]]])
+        self._lift(rooms[best[1]])
+        return best
+
+
 def assign(lengths: list[int], size: int) -> tuple[list[tuple[int, int, int, int, int]], int]:
     """Pieces ``(item, start, length, sequence, offset)`` of the items, and how many sequences they fill.
 
-    Descending items go to the sequence of the lowest cost that has room. If none of the LOOK cheapest takes an item
-    whole, the cheapest is filled and the rest goes on to the next, so nothing is padded.
+    Descending items go to the sequence of the lowest cost that has room for all of the item; of equal costs the first.
+    If none has, the cheapest of all is filled and the rest goes on by the same rule, so nothing is padded.
     """
     room = capacities(sum(lengths), size)
-    heap = [(0.0, s) for s in range(len(room))]
-    heapify(heap)
+    waiting = Sequences(size)
+    for s, r in enumerate(room):
+        waiting.put(r, 0.0, s)
     filled, pieces = [0] * len(room), []
     for item in sorted(range(len(lengths)), key=lambda i: (-lengths[i], i)):
         start, left = 0, lengths[item]
         while left:
-            tried = []
-            while heap and len(tried) < LOOK and (not tried or room[tried[-1][1]] < left):
-                tried.append(heappop(heap))
-            chosen = len(tried) - 1 if room[tried[-1][1]] >= left else 0
-            spent, s = tried.pop(chosen)
-            for other in tried:
-                heappush(heap, other)
+            spent, s = waiting.take(left, room) or waiting.take(1, room)
             taken = min(left, room[s])
             pieces.append((item, start, taken, s, filled[s]))
             start, left, room[s], filled[s] = start + taken, left - taken, room[s] - taken, filled[s] + taken
             if room[s]:
-                heappush(heap, (spent + cost(taken), s))
+                waiting.put(room[s], spent + cost(taken), s)
     return pieces, len(filled)
 
 
