@@ -9,11 +9,14 @@ from records import SALES, document, records, row
 
 from tidefold.operators.envelope import decode_changelog
 from tidefold.operators.retention import expired_snapshots, orphans
-from tidefold.plans.maintenance import create_tables, expire, maintain, path_exists, remove_orphans, run_steps, table_orphans
+from tidefold.plans import maintenance
+from tidefold.plans.maintenance import create_tables, expire, leftovers, maintain, raw_orphans, remove_orphans, run_steps
+from tidefold.plans.refresh import store_marks
 from tidefold.schemas import SALES_SUMMARY_DDL
+from tidefold.sinks import silver as silver_module
 from tidefold.sinks.gold import publish_gold, read_gold
-from tidefold.sinks.layout import record_snapshot, snapshots
-from tidefold.sinks.silver import commit_batch, compact, read_silver
+from tidefold.sinks.layout import path_exists
+from tidefold.sinks.silver import commit_batch, read_change_log, read_silver
 from tidefold.sources.streams import file_records
 from tidefold.streaming.raw import start_raw
 
@@ -63,38 +66,33 @@ def commit(spark, layout, batch):
     commit_batch(spark, layout, SALES, changes, batch, F.timestamp_seconds(F.lit(batch)))
 
 
-def test_retention_keeps_what_the_retained_snapshots_need(spark, layout):
-    for batch in range(6):
+def batches_of(spark, layout):
+    return sorted(r.snapshot_id for r in read_change_log(spark, layout).select("snapshot_id").distinct().collect())
+
+
+def test_retention_drops_folders_of_old_batches(spark, layout, monkeypatch):
+    for module in (silver_module, maintenance):
+        monkeypatch.setattr(module, "PERIOD", 2)
+    for batch in range(7):
         commit(spark, layout, batch)
     rows = values(read_silver(spark, layout, SALES))
     name = "silver.sales_transactions"
-    # without a base every delta is still needed
-    assert expire(spark, layout, name, retain_last=3, dry_run=False) == 0
-    compact(spark, layout, SALES)
-    # the base at 5 cannot serve the retained snapshots 3 and 4
-    assert expire(spark, layout, name, retain_last=3, dry_run=False) == 0
-    for batch in range(6, 9):
+    assert expire(spark, layout, name, retain_last=2) == 4  # dry run; the batch 4 lies with 5
+    assert batches_of(spark, layout) == list(range(7))
+    assert expire(spark, layout, name, retain_last=2, dry_run=False) == 4
+    assert batches_of(spark, layout) == [4, 5, 6] and values(read_silver(spark, layout, SALES)) == rows
+    assert expire(spark, layout, name, retain_last=2, dry_run=False) == 0
+    assert expire(spark, layout, "gold.sales_summary") == expire(spark, layout, "raw.sales_transactions") == 0
+
+
+def test_a_log_that_no_tick_has_read_is_kept(spark, layout, monkeypatch):
+    for module in (silver_module, maintenance):
+        monkeypatch.setattr(module, "PERIOD", 2)
+    for batch in range(8):
         commit(spark, layout, batch)
-    grown = values(read_silver(spark, layout, SALES))
-    assert len(grown) == len(rows) + 3
-    assert expire(spark, layout, name, retain_last=3) == 6  # dry run
-    first = snapshots(spark, layout).filter("kind = 'delta' and snapshot_id = 0").first().path
-    assert path_exists(spark, first)
-    assert expire(spark, layout, name, retain_last=3, dry_run=False) == 6
-    assert not path_exists(spark, first)
-    assert values(read_silver(spark, layout, SALES)) == grown
-    compact(spark, layout, SALES)
-    assert values(read_silver(spark, layout, SALES)) == grown
-
-
-def test_gold_versions_expire(spark, layout):
-    df = spark.createDataFrame([(1, 2, 3, 4.0, 5, None)], SALES_SUMMARY_DDL)
-    for _ in range(12):
-        publish_gold(spark, layout, "sales_summary", df)
-    assert expire(spark, layout, "gold.sales_summary", dry_run=False) == 2
-    assert snapshots(spark, layout).count() == 10
-    assert not path_exists(spark, layout.gold("sales_summary", 1))
-    assert read_gold(spark, layout, "sales_summary", SALES_SUMMARY_DDL).count() == 1
+    store_marks(spark, layout, {"sales_transactions": 2})
+    assert expire(spark, layout, "silver.sales_transactions", retain_last=2, dry_run=False) == 2
+    assert batches_of(spark, layout) == list(range(2, 8))
 
 
 def test_planted_files_are_found_and_nothing_else(spark, layout):
@@ -103,23 +101,25 @@ def test_planted_files_are_found_and_nothing_else(spark, layout):
     start_raw(file_records(spark, inbox), SALES, layout, {"availableNow": True}).awaitTermination()
     commit(spark, layout, 0)
     commit(spark, layout, 1)
-    compact(spark, layout, SALES)
     df = spark.createDataFrame([(1, 2, 3, 4.0, 5, None)], SALES_SUMMARY_DDL)
     publish_gold(spark, layout, "sales_summary", df)
-    tables = ("raw.sales_transactions", "silver.sales_transactions", "gold.sales_summary")
-    for table in tables:
-        assert table_orphans(spark, layout, table).count() == 0
+    far = datetime.datetime(2100, 1, 1)
+    raw, silver, gold = "raw.sales_transactions", "silver.sales_transactions", "gold.sales_summary"
+    assert raw_orphans(spark, layout, "sales_transactions").count() == 0
+    assert leftovers(spark, layout, silver, far) == leftovers(spark, layout, gold, far) == []
 
     df.write.parquet(f"{layout.raw('sales_transactions')}/ingest_date=2020-01-01")  # unknown to the sink's log
-    df.write.parquet(layout.delta("sales_transactions", 7, "lost"))  # batch that was never committed
-    df.write.parquet(layout.gold("sales_summary", 9))  # version that was never published
-    for table in tables:
+    df.write.parquet(f"{layout.table(silver)}/.spark-staging-lost")  # what a lost job leaves
+    df.write.parquet(layout.staged(gold))
+    for table in (raw, silver, gold):
         assert remove_orphans(spark, layout, table) == 0  # too young
-        assert remove_orphans(spark, layout, table, NO_AGE) == table_orphans(spark, layout, table).count() >= 1
-        remove_orphans(spark, layout, table, NO_AGE, dry_run=False)
-        assert table_orphans(spark, layout, table).count() == 0
+        found = remove_orphans(spark, layout, table, NO_AGE)
+        assert found >= 1
+        assert remove_orphans(spark, layout, table, NO_AGE, dry_run=False) == found
+        assert remove_orphans(spark, layout, table, NO_AGE) == 0
     assert read_silver(spark, layout, SALES).count() == 3
     assert read_gold(spark, layout, "sales_summary", SALES_SUMMARY_DDL).count() == 1
+    assert spark.read.parquet(layout.raw("sales_transactions")).count() == 2
 
 
 def test_a_failing_step_does_not_stop_the_others(spark, layout):
@@ -133,7 +133,6 @@ def test_a_failing_step_does_not_stop_the_others(spark, layout):
     assert report == {
         ("raw.customers", "expire_snapshots"): ("done", 0),
         ("raw.customers", "remove_orphan_files"): ("skipped", 0),
-        ("silver.sales_transactions", "compact"): ("done", 1),
         ("silver.sales_transactions", "expire_snapshots"): ("done", 0),
         ("silver.sales_transactions", "remove_orphan_files"): ("done", 0),
     }
@@ -149,19 +148,22 @@ def test_only_an_absent_table_is_skipped(spark):
     assert found["a"].message.endswith("x" * 500)
 
 
-def test_a_log_that_no_tick_has_read_is_kept(spark, layout):
-    name = "silver.sales_transactions"
-    for batch in range(8):
-        commit(spark, layout, batch)
-    compact(spark, layout, SALES)
-    for batch in range(8, 20):
-        commit(spark, layout, batch)
-    path = f"{layout.marks}/version=0"
-    spark.createDataFrame([("sales_transactions", 2)], "table_name STRING, mark BIGINT").write.parquet(path)
-    record_snapshot(spark, layout, "control.marks", "marks", 0, path, F.current_timestamp())
-    assert expire(spark, layout, name, retain_last=3, dry_run=False) == 3
-    left = [r.snapshot_id for r in snapshots(spark, layout).filter("kind = 'delta'").collect()]
-    assert sorted(left) == list(range(3, 20))
+def test_a_hanging_step_is_stopped_and_the_others_end(spark):
+    import time
+
+    def endless():
+        return spark.range(0, 1 << 40, 1, 1).selectExpr("sum(id % 7)").collect()[0][0]  # one task, so that others find room
+
+    started = time.monotonic()
+    steps = [("a", "hang", endless), ("b", "quick", lambda: spark.range(5).count()), ("c", "quick", lambda: 2)]
+    report = {r.table_name: r for r in run_steps(spark, steps, limit_s=12, at_once=2).collect()}
+    assert time.monotonic() - started < 60
+    assert (report["a"].status, report["b"].status, report["c"].status) == ("failed", "done", "done")
+    assert "stopped after 12 s" in report["a"].message and report["b"].items == 5
+    deadline = time.monotonic() + 30
+    while spark.sparkContext.statusTracker().getActiveJobsIds() and time.monotonic() < deadline:
+        time.sleep(0.2)
+    assert not spark.sparkContext.statusTracker().getActiveJobsIds()  # its job is cancelled
 
 
 def test_tables_are_created_once(spark, layout):

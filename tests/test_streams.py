@@ -3,7 +3,7 @@ from __future__ import annotations
 import json
 
 import pytest
-from conftest import values
+from conftest import plan_of, values
 from pyspark.sql import functions as F
 from records import SALES, document, records, row
 
@@ -12,8 +12,10 @@ from tidefold.operators.envelope import changelog, decode_changelog
 from tidefold.operators.state import current_state, latest_per_key, live
 from tidefold.schemas import ORDER
 from tidefold.session import fresh_dir
-from tidefold.sinks.layout import snapshots
-from tidefold.sinks.silver import commit_batch, compact, read_change_log, read_silver
+from tidefold.sinks import buckets as buckets_module
+from tidefold.sinks.buckets import bucket_of
+from tidefold.sinks.layout import path_exists
+from tidefold.sinks.silver import commit_batch, read_change_log, read_feed, read_silver
 from tidefold.sources.streams import file_records
 from tidefold.streaming.raw import read_raw, replayable, start_raw
 from tidefold.streaming.silver import start_silver
@@ -48,26 +50,20 @@ def expected(spark):
 def test_stream_equals_batch_for_any_number_of_micro_batches(spark, layout, batches):
     inbox = land(spark, DOCUMENTS, batches)
     start_silver(file_records(spark, inbox, max_files_per_trigger=1), SALES, layout, NOW).awaitTermination()
-    committed = snapshots(spark, layout).filter("kind = 'delta'").count()
-    assert committed == batches
     assert values(read_silver(spark, layout, SALES)) == expected(spark)
     # one log row per row change; the update of a key counts for both keys
     log = read_change_log(spark, layout)
     assert log.count() == len(DOCUMENTS) + 1
     assert log.select("snapshot_id").distinct().count() == batches
-    compact(spark, layout, SALES)
-    assert values(read_silver(spark, layout, SALES)) == expected(spark)
 
 
 def test_a_stream_resumes_after_the_last_record(spark, layout):
     inbox = land(spark, DOCUMENTS[:4], 1)
     start_silver(file_records(spark, inbox), SALES, layout, NOW).awaitTermination()
-    compact(spark, layout, SALES)
     later = records(spark, DOCUMENTS).filter(F.col("offset") >= 4)
     later.write.mode("append").json(inbox)
     start_silver(file_records(spark, inbox), SALES, layout, NOW).awaitTermination()
-    for limit in (1 << 20, 0):
-        assert values(read_silver(spark, layout, SALES, limit)) == expected(spark)
+    assert values(read_silver(spark, layout, SALES)) == expected(spark)
 
 
 def test_a_batch_delivered_twice_changes_nothing(spark, layout):
@@ -76,50 +72,98 @@ def test_a_batch_delivered_twice_changes_nothing(spark, layout):
         commit_batch(spark, layout, SALES, changes, 0, F.current_timestamp())
     assert values(read_silver(spark, layout, SALES)) == expected(spark)
     assert read_change_log(spark, layout).count() == len(DOCUMENTS) + 1
-    assert snapshots(spark, layout).count() == 1
 
 
-def test_a_half_written_batch_is_not_read(spark, layout):
-    changes = decode_changelog(records(spark, DOCUMENTS[:3]), SALES)
+def files_of(df):
+    return {r.path: r.bucket for r in df.select(F.col("_metadata.file_path").alias("path"), "bucket").distinct().collect()}
+
+
+def stored(spark, layout):
+    return spark.read.parquet(layout.table(f"silver.{SALES.name}"))
+
+
+def test_a_batch_rewrites_its_own_buckets_only(spark, layout):
+    first = [document("c", None, row(i, qty=i), 1) for i in range(200)]
+    commit_batch(spark, layout, SALES, decode_changelog(records(spark, first), SALES), 0, F.current_timestamp(), buckets=8)
+    before = files_of(stored(spark, layout))
+    assert sorted(before.values()) == list(range(8))  # a file for each bucket
+    second = decode_changelog(records(spark, [document("u", row(7), row(7, qty=70), 2), document("d", row(8), None, 3)]), SALES)
+    touched = {r.b for r in second.select(bucket_of(SALES.keys, 8).alias("b")).collect()}
+    commit_batch(spark, layout, SALES, second, 1, F.current_timestamp(), buckets=8)
+    after = files_of(stored(spark, layout))
+    assert {b for path, b in before.items() if path not in after} == touched
+    assert sorted(after.values()) == list(range(8))
+    found = {r.txn_id: r.qty for r in read_silver(spark, layout, SALES).collect()}
+    assert found == {i: i for i in range(200) if i != 8} | {7: 70}
+
+
+def test_filters_reach_the_files(spark, layout):
+    changes = decode_changelog(records(spark, DOCUMENTS), SALES)
     commit_batch(spark, layout, SALES, changes, 0, F.current_timestamp())
+    plan = plan_of(read_silver(spark, layout, SALES).filter("qty = 7").select("txn_id"))
+    assert "EqualTo(qty,7)" in plan and "Exchange" not in plan and "total_amount" not in plan
+
+
+@pytest.mark.parametrize("lost_at", ["staging", "placing", "log"])
+def test_a_lost_driver_loses_and_doubles_nothing(spark, layout, monkeypatch, lost_at):
+    """The second batch is lost while its buckets are written aside, while they are put in place, or before its log."""
+    from tidefold.sinks import silver as module
+
+    def lost(*args, **kwargs):
+        raise RuntimeError("lost")
+
+    commit = lambda docs, batch: commit_batch(
+        spark, layout, SALES, decode_changelog(records(spark, docs), SALES), batch, F.current_timestamp(), with_feed=True
+    )
+    commit(DOCUMENTS[:4], 0)
     before = values(read_silver(spark, layout, SALES))
-    rest = decode_changelog(records(spark, DOCUMENTS), SALES)
-    latest_per_key(rest, SALES.keys, ORDER).write.parquet(layout.delta(SALES.name, 1, "lost"))
-    assert values(read_silver(spark, layout, SALES)) == before
+    with monkeypatch.context() as patch:
+        if lost_at == "staging":
+            patch.setattr(buckets_module, "recover", lambda *a, n=[]: lost() if n or n.append(1) else None)
+            patch.setattr(buckets_module, "path_exists", lambda *a: False)
+        elif lost_at == "placing":
+            real = buckets_module.write_buckets
+
+            def half(rows, path):  # some buckets are replaced, others lost
+                real(rows.limit(1), path)
+                lost()
+
+            patch.setattr(buckets_module, "write_buckets", half)
+        else:
+            patch.setattr(module, "change_log", lost)
+        with pytest.raises(RuntimeError):
+            commit(DOCUMENTS, 1)
+    if lost_at == "staging":
+        assert values(read_silver(spark, layout, SALES)) == before
+    assert read_change_log(spark, layout).filter("snapshot_id = 1").isEmpty()
+    commit(DOCUMENTS, 1)
+    assert values(read_silver(spark, layout, SALES)) == expected(spark)
+    assert not path_exists(spark, layout.staged(f"silver.{SALES.name}"))
+    images = read_feed(spark, layout, SALES, -1, 1).groupBy(*SALES.columns).agg(F.sum("sign").alias("n")).filter("n <> 0")
+    assert values(images.drop("n")) == expected(spark) and images.filter("n <> 1").isEmpty()
 
 
-def test_compaction_keeps_delete_markers_for_late_changes(spark, layout):
+def test_delete_markers_stay_for_late_changes(spark, layout):
     def commit(batch, doc, offset):
         changes = changelog_at(spark, doc, offset)
         commit_batch(spark, layout, SALES, changes, batch, F.current_timestamp())
 
     commit(0, document("c", None, row(1), 1), 0)
     commit(1, document("d", row(1), None, 5), 1)
-    compact(spark, layout, SALES)
-    # However many batches later, and however often the table was compacted since.
     commit(500, document("c", None, row(2), 9), 3)
-    compact(spark, layout, SALES)
     commit(501, document("u", row(1), row(1, qty=3), 3), 2)  # older than the delete
-    for _ in range(2):
-        assert [r.txn_id for r in read_silver(spark, layout, SALES).collect()] == [2]
-        compact(spark, layout, SALES)
-
+    assert [r.txn_id for r in read_silver(spark, layout, SALES).collect()] == [2]
 
-def test_log_and_delta_become_visible_together(spark, layout, monkeypatch):
-    """A reader between the writes of a batch sees neither; a retry leaves what readers opened in place."""
-    from tidefold.sinks import silver as module
 
+def test_the_log_is_read_from_a_batch_on(spark, layout):
     changes = decode_changelog(records(spark, DOCUMENTS), SALES)
-    with monkeypatch.context() as patch:
-        patch.setattr(module, "record_snapshot", lambda *a: (_ for _ in ()).throw(RuntimeError("lost")))
-        with pytest.raises(RuntimeError):
-            commit_batch(spark, layout, SALES, changes, 0, F.current_timestamp())
-    assert read_change_log(spark, layout).count() == read_silver(spark, layout, SALES).count() == 0
-    commit_batch(spark, layout, SALES, changes, 0, F.current_timestamp())
-    opened = read_change_log(spark, layout)
-    commit_batch(spark, layout, SALES, changes, 0, F.current_timestamp())
-    assert opened.count() == read_change_log(spark, layout).count() == len(DOCUMENTS) + 1
-    assert read_change_log(spark, layout, {SALES.name: 0}).count() == 0
+    for batch in (3, 99, 100, 250):
+        commit_batch(spark, layout, SALES, changes, batch, F.current_timestamp())
+    found = lambda after: values(read_change_log(spark, layout, after).select("snapshot_id").distinct())
+    assert found({SALES.name: 99}) == [(100,), (250,)] and found({SALES.name: 250}) == []
+    assert len(found({})) == len(found({"other": 400})) == 4
+    scan = read_change_log(spark, layout, {SALES.name: 99})
+    assert len(scan.inputFiles()) and "PartitionFilters: [" in plan_of(scan)
 
 
 def changelog_at(spark, doc, offset):
@@ -130,7 +174,6 @@ def changelog_at(spark, doc, offset):
 def test_empty_table(spark, layout):
     assert read_silver(spark, layout, SALES).count() == 0
     assert read_change_log(spark, layout).count() == 0
-    assert compact(spark, layout, SALES) is None
 
 
 def test_raw_keeps_every_readable_document_and_counts_the_rest(spark, layout):

@@ -4,7 +4,7 @@ stream     RAW and SILVER streams of the captured tables, until stopped
 snapshot   initial load of one database table into the change stream
 gold       recompute one aggregate and merge it
 tick       find the aggregates whose inputs changed and rebuild those
-maintain   compaction, snapshot retention, orphan files
+maintain   retention of the log, leftovers, orphan files
 check      compare the aggregates with a recomputation
 """
 
@@ -59,7 +59,7 @@ def run_stream(spark: SparkSession, args: argparse.Namespace) -> None:
     for table in args.tables:
         # Each query has its own checkpoint and so its own position in the topic.
         queries.append(start_raw(_records(spark, args, table), ENTITIES[table], layout, trigger, args.with_position))
-        queries.append(start_silver(_records(spark, args, table), ENTITIES[table], layout, trigger))
+        queries.append(start_silver(_records(spark, args, table), ENTITIES[table], layout, trigger, args.with_feed))
     await_all(queries)
 
 
@@ -94,7 +94,11 @@ def run_gold(spark: SparkSession, args: argparse.Namespace) -> None:
 
 def run_tick(spark: SparkSession, args: argparse.Namespace) -> None:
     for table in refresh(
-        spark, Layout(args.root), null_safe=args.null_safe, delete_unmatched=args.delete_unmatched
+        spark,
+        Layout(args.root),
+        null_safe=args.null_safe,
+        delete_unmatched=args.delete_unmatched,
+        incremental=args.incremental,
     ):
         print(table)
 
@@ -138,6 +142,7 @@ def parser() -> argparse.ArgumentParser:
     stream.add_argument("--tables", nargs="+", choices=list(ENTITIES), default=list(ENTITIES))
     stream.add_argument("--once", action="store_true", help="process what is there, then stop")
     stream.add_argument("--with-position", action="store_true", help="keep the offset in RAW")
+    stream.add_argument("--with-feed", action="store_true", help="keep old and new row images for incremental ticks")
     stream.add_argument("--max-records-per-batch", type=int, help="of a topic")
     stream.add_argument("--max-files-per-batch", type=int, help="of a landing folder")
     stream.add_argument("--min-partitions", type=int, help="tasks that a batch of a topic is split into")
@@ -158,6 +163,8 @@ def parser() -> argparse.ArgumentParser:
         sub.add_argument("--delete-unmatched", action="store_true")
         if name == "gold":
             sub.add_argument("--table", required=True, choices=list(GOLD))
+        else:
+            sub.add_argument("--incremental", action="store_true", help="by row images; streams run --with-feed from the start")
 
     job("maintain", run_maintain).add_argument("--apply", action="store_true", help="delete; default is a dry run")
     job("check", run_check)

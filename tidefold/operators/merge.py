@@ -68,6 +68,23 @@ def merge_into_table(source: DataFrame, table: str, keys: Sequence[str]) -> None
     )
 
 
+def merge_bucketed(source: DataFrame, table: str, keys: Sequence[str], buckets: int) -> None:
+    """Merge into a catalog table whose files are bucketed and sorted by the keys; the stored rows are not shuffled.
+
+    For catalogs without row-level operations. The result is written as a second table of the same kind and takes the
+    name of the first; a reader in between finds no table and has to try again. The table is created if it is absent.
+    """
+    spark = source.sparkSession
+    following = f"{table}_next"
+    result = merge(spark.table(table), source, keys) if spark.catalog.tableExists(table) else source
+    # A task for each bucket writes one file.
+    dealt = result.repartition(buckets, *keys)
+    spark.sql(f"DROP TABLE IF EXISTS {following}")
+    dealt.write.bucketBy(buckets, *keys).sortBy(*keys).format("parquet").saveAsTable(following)
+    spark.sql(f"DROP TABLE IF EXISTS {table}")
+    spark.sql(f"ALTER TABLE {following} RENAME TO {table}")
+
+
 def insert_if_absent(
     existing: DataFrame, candidates: DataFrame, keys: Sequence[str], order: Sequence[str] = ()
 ) -> DataFrame:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
@@ -47,9 +47,8 @@ def apply_delta(
 
     A base is far larger than the changes since it was written, so it is joined
     with the folded changes and never folded itself.  When the changed keys are
-    proven small they are broadcast and the base is only scanned; otherwise one
-    full join shuffles the base and the folded delta once each.  Both ways give
-    the same rows.
+    proven small they are broadcast and the base is only scanned; otherwise it
+    is shuffled, after the caller's filters, which reach its files either way.
     """
     newest = latest_per_key(delta, keys, order)
     changed = [*keys, *order]
@@ -58,32 +57,28 @@ def apply_delta(
     size, rows, timed, oldest = delta.agg(
         F.sum(row_bytes(delta, changed)), F.count(F.lit(1)), F.count(first), F.min(first)
     ).first()
-    if (size or 0) <= max_broadcast_bytes or size_of(delta.select(*keys).distinct()) <= max_broadcast_bytes:
-        return _scanned(base, newest, keys, order, oldest if timed == rows else None)
-    return _merged(base, newest, keys, order)
+    small = (size or 0) <= max_broadcast_bytes or size_of(delta.select(*keys).distinct()) <= max_broadcast_bytes
+    return _applied(base, newest, keys, order, oldest if timed == rows else None, F.broadcast if small else lambda df: df)
 
 
 def _same_key(keys: Sequence[str], renamed: str) -> Column:
     return reduce(lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(renamed + k)) for k in keys])
 
 
-def _merged(base: DataFrame, newest: DataFrame, keys: Sequence[str], order: Sequence[str]) -> DataFrame:
-    """One full join; of the two rows of a key the later one stays."""
-    columns = base.columns
-    new = newest.select(*[F.col(c).alias(f"_d_{c}") for c in columns], F.lit(True).alias("_new"))
-    old = base.withColumn("_old", F.lit(True))
-    later = F.struct(*[F.col(f"_d_{c}") for c in order]) >= F.struct(*order)
-    wins = F.col("_new").isNotNull() & (F.col("_old").isNull() | later)
-    joined = old.join(new, _same_key(keys, "_d_"), "full_outer")
-    return joined.select(*[F.when(wins, F.col(f"_d_{c}")).otherwise(F.col(c)).alias(c) for c in columns])
-
-
-def _scanned(
-    base: DataFrame, newest: DataFrame, keys: Sequence[str], order: Sequence[str], oldest: int | None
+def _applied(
+    base: DataFrame,
+    newest: DataFrame,
+    keys: Sequence[str],
+    order: Sequence[str],
+    oldest: int | None,
+    hint: Callable[[DataFrame], DataFrame],
 ) -> DataFrame:
-    """The changed keys are broadcast: filters and column lists of the caller reach the files of the base."""
+    """Base rows that no change replaces, and the changes that replace or add rows.
+
+    Both parts keep the columns of the base as they are, so filters and column lists of the caller reach its files.
+    """
     changed = newest.select(*keys, *order)
-    marks = F.broadcast(changed.select(*[F.col(c).alias(f"_d_{c}") for c in changed.columns]))
+    marks = hint(changed.select(*[F.col(c).alias(f"_d_{c}") for c in changed.columns]))
     position, delta_position = F.struct(*order), F.struct(*[F.col(f"_d_{c}") for c in order])
     untouched = base.join(marks, _same_key(keys, "_d_") & (delta_position >= position), "left_anti")
     # Changes that arrived late: the base already holds a newer row for the key.
@@ -93,6 +88,6 @@ def _scanned(
     if oldest is not None:
         recent = recent.filter(F.col(order[0]) >= F.lit(oldest))
     late = recent.join(marks, _same_key(keys, "_d_") & (delta_position < position), "left_semi")
-    late = F.broadcast(late.select(*[F.col(k).alias(f"_d_{k}") for k in keys]))
+    late = hint(late.select(*[F.col(k).alias(f"_d_{k}") for k in keys]))
     applied = newest.join(late, _same_key(keys, "_d_"), "left_anti")
     return untouched.unionByName(applied.select(*base.columns))

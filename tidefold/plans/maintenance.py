@@ -1,178 +1,113 @@
-"""Daily upkeep of every table: compaction, snapshot retention, orphan files."""
+"""Daily upkeep of every table: retention of the change log, leftovers of writers, files that nothing refers to."""
 
 from __future__ import annotations
 
 import datetime
-from collections.abc import Callable, Iterable, Mapping
+import uuid
+from collections.abc import Callable, Iterable
+from concurrent.futures import ThreadPoolExecutor
 
+from pyspark import InheritableThread
 from pyspark.errors import AnalysisException
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidefold.functions.scalars import normalised_path
 from tidefold.operators.retention import OLDER_THAN, RETAIN_LAST, expired_snapshots, list_files, orphans
-from tidefold.plans.refresh import stored_marks
-from tidefold.schemas import ENTITIES, MAINTAINED_TABLES, Entity
+from tidefold.plans.refresh import MARKS, stored_marks
+from tidefold.schemas import CHANGE_LOG_DDL, MAINTAINED_TABLES
 from tidefold.session import ensure_checkpoint_dir
-from tidefold.sinks.layout import Layout, snapshots
-from tidefold.sinks.silver import compact
+from tidefold.sinks.layout import Layout, delete_path
+from tidefold.sinks.silver import PERIOD
+from tidefold.sources.tables import read_or_empty
 
 REPORT_DDL = "table_name STRING, step STRING, status STRING, items BIGINT, message STRING"
 
-# Our own bookkeeping that also grows by versions.
-CONTROL_TABLES = ("control.marks",)
-
 # Files younger than this may belong to a write that is still running.
 ORPHAN_AGE = datetime.timedelta(days=3)
+# Steps that run at once, and the seconds after which one is stopped.
+AT_ONCE, STEP_LIMIT_S = 4, 2 * 3600.0
 
 
-def delete_paths(spark: SparkSession, paths: Iterable[str]) -> int:
-    """Delete files or folders through the cluster's file system, one by one; absent ones are fine."""
-    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
-    deleted = 0
-    for path in paths:
-        target = jvm.org.apache.hadoop.fs.Path(path)
-        deleted += target.getFileSystem(conf).delete(target, True)
-    return deleted
-
-
-def path_exists(spark: SparkSession, path: str) -> bool:
-    target = spark._jvm.org.apache.hadoop.fs.Path(path)
-    return target.getFileSystem(spark._jsc.hadoopConfiguration()).exists(target)
-
-
-def qualified(spark: SparkSession, path: str) -> str:
-    """The path with the scheme and authority that file listings carry."""
-    target = spark._jvm.org.apache.hadoop.fs.Path(path)
-    return target.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(target).toString()
-
-
-def _recorded(spark: SparkSession, layout: Layout, table: str) -> DataFrame:
-    return snapshots(spark, layout).filter(F.col("table_name") == table)
-
-
-def settled_rows(df: DataFrame) -> DataFrame:
-    """Rows that stay as they are while their sources are deleted."""
-    ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint()
-
-
-def superseded(spark: SparkSession, layout: Layout, table: str, retain_last: int = RETAIN_LAST) -> DataFrame:
-    """Snapshot records that retention may drop, with the folders they own.
+def expire(spark: SparkSession, layout: Layout, table: str, retain_last: int = RETAIN_LAST, dry_run: bool = True) -> int:
+    """Drop the log and the row images of a table's old micro-batches, a folder of PERIOD batches at a time.
 
-    Versions of an aggregate stand alone.  A delta of a current-state table is
-    needed until a base covers it that the oldest retained snapshot can start
-    from; older bases go with it.
+    Kept are the newest ``retain_last`` batches, those that no tick has seen, and what lies in a folder with them.
+    Returns the batches that go. RAW only grows, and aggregates have one state: nothing there is superseded.
     """
-    recorded = _recorded(spark, layout, table)
-    if not table.startswith("silver."):
-        return expired_snapshots(recorded, retain_last, OLDER_THAN)
-    deltas = recorded.filter(F.col("kind") == "delta")
-    bases = recorded.filter(F.col("kind") == "base")
-    expired = expired_snapshots(deltas, retain_last, OLDER_THAN)
-    oldest_kept = deltas.join(expired, ["kind", "snapshot_id"], "left_anti").agg(F.min("snapshot_id")).first()[0]
-    if oldest_kept is None:
-        return expired.limit(0)
-    covering = bases.filter(F.col("snapshot_id") <= oldest_kept).agg(F.max("snapshot_id")).first()[0]
-    if covering is None:
-        return expired.limit(0)
-    done = covering
-    marks = stored_marks(spark, layout)
-    if marks:  # the log of a batch that no tick has seen is still needed
-        done = min(covering, marks.get(table.removeprefix("silver."), -1))
-    return expired.filter(F.col("snapshot_id") <= done).unionByName(
-        bases.filter(F.col("snapshot_id") < covering)
-    )
-
-
-def expire(spark: SparkSession, layout: Layout, table: str, retain_last: int = RETAIN_LAST, dry_run: bool = True) -> int:
-    """Drop snapshots beyond the newest ``retain_last`` together with data only they use."""
-    if table.startswith("raw."):
-        # An audit log only grows: no snapshot supersedes the files of another.
+    layer, name = table.split(".")
+    if layer != "silver":
         return 0
-    gone = superseded(spark, layout, table, retain_last)
-    if dry_run:
-        return gone.count()
-    # A folder or two for each snapshot, one after the other.  Records first: a
-    # reader must not follow a record whose folder is gone.
-    gone = settled_rows(gone.select("kind", "snapshot_id", "path", "log_path"))
-    count = 0
-    for r in gone.toLocalIterator():
-        delete_paths(spark, [layout.snapshot(table, r.kind, r.snapshot_id)])
-        delete_paths(spark, [p for p in (r.path, r.log_path) if p])
-        count += 1
-    return count
+    log = read_or_empty(spark, layout.log, f"{CHANGE_LOG_DDL}, period INT").filter(F.col("table_name") == name)
+    batches = log.groupBy("table_name", "period", "snapshot_id").agg(F.max("committed_at").alias("committed_at"))
+    newest_gone = expired_snapshots(batches, retain_last, OLDER_THAN).agg(F.max("snapshot_id")).first()[0]
+    if newest_gone is None:
+        return 0
+    marks = stored_marks(spark, layout)
+    bound = min(newest_gone, marks.get(name, -1)) if marks else newest_gone
+    old = (F.col("period") + 1) * PERIOD <= bound + 1
+    # A row for each PERIOD batches since the last upkeep.
+    gone = batches.filter(old).groupBy("period").agg(F.count(F.lit(1)).alias("n")).collect()
+    for r in [] if dry_run else gone:
+        delete_path(spark, f"{layout.log}/table_name={name}/period={r.period}")
+        delete_path(spark, f"{layout.feed(name)}/period={r.period}")
+    return sum(r.n for r in gone)
 
 
-def layer_of(table: str) -> str:
-    return table.partition(".")[0]
+def raw_orphans(
+    spark: SparkSession, layout: Layout, table: str, modified_before: datetime.datetime | None = None
+) -> DataFrame:
+    """Files of RAW that the streaming sink has not committed.
 
+    Loading the folder itself goes by the commit log of the sink and so yields the committed files; the glob lists all.
+    """
+    root = layout.raw(table)
+    return orphans(list_files(spark, [f"{root}/*/*.parquet"]), list_files(spark, [root]), modified_before)
 
-def folder_of(path: str) -> Column:
-    return F.regexp_replace(F.col(path), "/[^/]+$", "")
 
-
-def table_orphans(
-    spark: SparkSession, layout: Layout, table: str, modified_before: datetime.datetime | None = None
-) -> DataFrame:
-    """Files below a table that no snapshot refers to."""
-    layer, name = table.split(".")
-    if layer == "raw":
-        root = layout.raw(name)
-        listing = list_files(spark, [f"{root}/*/*.parquet"])
-        # Loading the folder itself goes by the commit log of the streaming sink
-        # and so yields the committed files; the glob above lists all of them.
-        referenced = list_files(spark, [root])
-        return orphans(listing, referenced, modified_before)
-    root = f"{layout.root}/{layer}/{name}"
-    globs = [f"{root}/{kind}/*/*.parquet" for kind in ("delta", "base", "log")] if layer == "silver" else [f"{root}/*/*.parquet"]
-    globs = [g for g in globs if path_exists(spark, g.rsplit("/", 2)[0])]
-    listing = list_files(spark, globs)
-    # A folder belongs to the snapshot that records it, so folders are compared.
-    inside = F.substring(F.col("path"), len(layout.root) + 1, 1 << 30)
-    recorded = _recorded(spark, layout, table).select(F.explode(F.array("path", "log_path")).alias("path"))
-    owned = recorded.filter("path is not null").select(
-        normalised_path(F.concat(F.lit(qualified(spark, layout.root)), inside)).alias("path")
-    )
-    folder = F.regexp_replace(normalised_path(F.col("path")), "/[^/]+$", "")
-    by_folder = listing.select(folder.alias("path"), F.col("path").alias("_file"), "modified_at")
-    return orphans(by_folder, owned, modified_before).select(F.col("_file").alias("path"), "modified_at")
+def leftovers(spark: SparkSession, layout: Layout, table: str, modified_before: datetime.datetime) -> list[str]:
+    """Folders that a lost writer of a keyed table has left: one or two for each failure."""
+    found = []
+    for pattern in (f"{layout.table(table)}/.spark-staging-*", layout.staged(table)):
+        target = spark._jvm.org.apache.hadoop.fs.Path(pattern)
+        for status in target.getFileSystem(spark._jsc.hadoopConfiguration()).globStatus(target) or []:
+            if status.getModificationTime() < modified_before.timestamp() * 1000:
+                found.append(status.getPath().toString())
+    return found
 
 
 def remove_orphans(
     spark: SparkSession, layout: Layout, table: str, age: datetime.timedelta = ORPHAN_AGE, dry_run: bool = True
 ) -> int:
-    cutoff = datetime.datetime.now(datetime.timezone.utc).replace(tzinfo=None) - age
-    found = table_orphans(spark, layout, table, cutoff)
-    if dry_run:
-        return found.count()
-    found = settled_rows(found.select("path"))
-    if layer_of(table) != "raw":
-        # Folders hold the files of one attempt each; a folder costs one call.
-        delete_paths(spark, (r.f for r in found.select(folder_of("path").alias("f")).distinct().toLocalIterator()))
-        return found.count()
-    return delete_paths(spark, (r.path for r in found.toLocalIterator()))
+    layer, name = table.split(".")
+    cutoff = datetime.datetime.now(datetime.timezone.utc) - age
+    if layer == "raw":
+        # As many as failed attempts have left. Settled, as the listing must not change while files go.
+        ensure_checkpoint_dir(spark)
+        lost = raw_orphans(spark, layout, name, cutoff.replace(tzinfo=None)).select("path").checkpoint()
+        if dry_run:
+            return lost.count()
+        return sum(delete_path(spark, r.path) for r in lost.toLocalIterator())
+    found = leftovers(spark, layout, table, cutoff)
+    for path in [] if dry_run else found:
+        delete_path(spark, path)
+    return len(found)
 
 
 def maintain(
     spark: SparkSession,
     layout: Layout,
-    tables: Iterable[str] = MAINTAINED_TABLES + CONTROL_TABLES,
+    tables: Iterable[str] = (*MAINTAINED_TABLES, MARKS),
     retain_last: int = RETAIN_LAST,
     orphan_age: datetime.timedelta = ORPHAN_AGE,
     dry_run: bool = True,
-    entities: Mapping[str, Entity] = ENTITIES,
 ) -> DataFrame:
-    """Run every step on every table; a failing step is reported and the next one runs.
+    """Run every step on every table; a failing step is reported and the others run.
 
     Returns one row per table and step.  ``skipped`` stands for a table that is
     not there yet; anything else that goes wrong is ``failed``, with its message.
     """
     steps: list[tuple[str, str, Callable[[], int | None]]] = []
     for table in tables:
-        layer, _, name = table.partition(".")
-        if layer == "silver" and name in entities and not dry_run:
-            steps.append((table, "compact", lambda name=name: None if compact(spark, layout, entities[name]) is None else 1))
         steps.append((table, "expire_snapshots", lambda table=table: expire(spark, layout, table, retain_last, dry_run)))
         steps.append(
             (table, "remove_orphan_files", lambda table=table: remove_orphans(spark, layout, table, orphan_age, dry_run))
@@ -180,15 +115,41 @@ def maintain(
     return run_steps(spark, steps)
 
 
-def run_steps(spark: SparkSession, steps: Iterable[tuple[str, str, Callable[[], int | None]]]) -> DataFrame:
-    """Run the steps ``(table, step, job)`` in turn and report each; jobs return the items that they handled."""
-    report = []
-    for table, step, job in steps:
-        try:
-            report.append((table, step, "done", job() or 0, ""))
-        except Exception as error:
-            absent = isinstance(error, AnalysisException) and error.getCondition() == "PATH_NOT_FOUND"
-            report.append((table, step, "skipped" if absent else "failed", 0, str(error)))
+def run_steps(
+    spark: SparkSession,
+    steps: Iterable[tuple[str, str, Callable[[], int | None]]],
+    limit_s: float = STEP_LIMIT_S,
+    at_once: int = AT_ONCE,
+) -> DataFrame:
+    """Run the steps ``(table, step, job)``, some at a time, and report each; jobs return the items that they handled.
+
+    Every step has a thread, a pool of the fair scheduler and a tag of its own. One that is not done after ``limit_s``
+    has its Spark jobs cancelled by the tag and is reported as failed, while the others go on.
+    """
+
+    def run(task: tuple[int, tuple[str, str, Callable[[], int | None]]]) -> tuple:
+        number, (table, step, job) = task
+        tag, outcome = f"upkeep-{uuid.uuid4().hex}", []
+
+        def work() -> None:
+            spark.sparkContext.addJobTag(tag)
+            spark.sparkContext.setLocalProperty("spark.scheduler.pool", f"upkeep-{number % at_once}")
+            try:
+                outcome.append(("done", job() or 0, ""))
+            except Exception as error:
+                absent = isinstance(error, AnalysisException) and error.getCondition() == "PATH_NOT_FOUND"
+                outcome.append(("skipped" if absent else "failed", 0, str(error)))
+
+        thread = InheritableThread(target=work, daemon=True)
+        thread.start()
+        thread.join(limit_s)
+        if thread.is_alive():
+            spark.sparkContext.cancelJobsWithTag(tag)
+            outcome.insert(0, ("failed", 0, f"stopped after {limit_s:g} s"))
+        return (table, step, *outcome[0])
+
+    with ThreadPoolExecutor(at_once) as pool:
+        report = list(pool.map(run, enumerate(steps)))
     return spark.createDataFrame(report, REPORT_DDL)
 
 

@@ -290,3 +290,29 @@ ORACLE = {
         select store_id, product_id, 'stale' as status from old_summary o
         where not exists (select 1 from new_summary n where n.store_id = o.store_id and n.product_id = o.product_id)""",
 }
+
+# Aggregates that follow their changes equal a recomputation.
+for _name in ("sales_summary", "customer_loyalty"):
+    ORACLE[f"incremental_{_name}"] = ORACLE[_name]
+ORACLE |= {
+    "snapshot_diff_digest": ORACLE["snapshot_diff"],
+    "gold_reconcile_digest": ORACLE["gold_reconcile"],
+    "raw_variant": ORACLE["raw_ingest"],
+    "merge_bucketed": ORACLE["merge_sales_summary"],
+    "change_log_lookup": f"""with {_LINES}
+        select 'sales_transactions' as table_name, cast(year(shipped_at) * 100 + month(shipped_at) as bigint) as snapshot_id,
+               cast(txn_id as varchar) as affected_keys, shipped_at as committed_at
+        from lines where shipped_at >= timestamp '1994-01-01'
+          and txn_id in (select txn_id from lines order by total_amount desc, txn_id limit 10)""",
+    "change_log_rollup_ranked": f"""with {_LINES},
+        log as (
+          select cast(year(shipped_at) * 10 + quarter(shipped_at) as bigint) as snapshot_id, shipped_at as committed_at,
+                 '{{"order_id":' || order_id || ',"line":' || (txn_id % 8) || '}}' as k from lines),
+        keyed as (
+          select snapshot_id, k, count(*) as n, max(committed_at) as committed_at,
+                 (row_number() over (partition by snapshot_id order by k) - 1) // 1000 as part from log group by snapshot_id, k)
+        select 'sales_transactions' as table_name, snapshot_id, part,
+               '[' || string_agg('"' || replace(k, '"', '\\"') || '"', ',' order by k) || ']' as affected_keys,
+               count(*) as n_keys, cast(sum(n) as bigint) as n_changes, max(committed_at) as committed_at
+        from keyed group by snapshot_id, part""",
+}

@@ -9,20 +9,21 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidefold.functions.scalars import epoch_ms, job_name
-from tidefold.operators import capture, changelog, governance, impact, merge, reconcile, retention
+from tidefold.operators import capture, changelog, digest, governance, impact, merge, reconcile, retention
 from tidefold.operators.envelope import changelog as to_changelog
 from tidefold.operators.envelope import decode, decode_changelog, readable
 from tidefold.operators.state import latest_per_key, live
 from tidefold.plans import gold, refresh, standins
+from tidefold.plans.incremental import AGGREGATES, advance
 from tidefold.plans.maintenance import create_tables, run_steps
 from tidefold.schemas import CUSTOMER_LOYALTY_DDL, CUSTOMERS, ORDER, RECORD_DDL, SALES_SUMMARY_DDL
 from tidefold.session import fresh_dir
 from tidefold.sinks.gold import publish_gold, read_gold, serving_view
 from tidefold.sinks.layout import Layout
-from tidefold.sinks.silver import compact, read_change_log, read_silver
+from tidefold.sinks.silver import commit_batch, read_change_log, read_silver, store_log
 from tidefold.sources.streams import file_records
 from tidefold.sources.tables import read_table
-from tidefold.streaming.raw import read_raw, replayable, start_raw
+from tidefold.streaming.raw import image_fields, read_raw, replayable, start_raw, start_raw_variant
 from tidefold.streaming.silver import start_silver
 
 SALES = standins.SALES
@@ -94,7 +95,7 @@ def snapshot_envelope(spark: SparkSession, d: str) -> DataFrame:
     )
 
 
-def snapshot_diff(spark: SparkSession, d: str) -> DataFrame:
+def _order_versions(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
     """Orders before and after a run that opened some, shipped some and archived others."""
     orders = read_table(spark, d, "orders").select(
         "o_orderkey", F.col("o_orderstatus").alias("status"), "o_orderpriority", "o_totalprice"
@@ -105,7 +106,11 @@ def snapshot_diff(spark: SparkSession, d: str) -> DataFrame:
         .withColumn("status", F.when(F.col("o_orderpriority") == "1-URGENT", "S").otherwise(F.col("status")))
         .drop("o_orderpriority")
     )
-    return capture.snapshot_diff(old, new, ["o_orderkey"]).select(
+    return old, new
+
+
+def _diff_columns(found: DataFrame) -> DataFrame:
+    return found.select(
         "op",
         "o_orderkey",
         F.col("before.status").alias("old_status"),
@@ -115,6 +120,16 @@ def snapshot_diff(spark: SparkSession, d: str) -> DataFrame:
     )
 
 
+def snapshot_diff(spark: SparkSession, d: str) -> DataFrame:
+    return _diff_columns(capture.snapshot_diff(*_order_versions(spark, d), ["o_orderkey"]))
+
+
+def snapshot_diff_digest(spark: SparkSession, d: str) -> DataFrame:
+    """The same difference, joined only where the digests of both versions differ."""
+    old, new = digest.differing(*_order_versions(spark, d), ["o_orderkey"])
+    return _diff_columns(capture.snapshot_diff(old, new, ["o_orderkey"]))
+
+
 # --- decoding --------------------------------------------------------------
 
 
@@ -190,6 +205,18 @@ def _run_silver(spark: SparkSession, d: str, table: str, layout: Layout, batches
     start_silver(_stream(spark, d, table, batches), entity, layout, AVAILABLE_NOW).awaitTermination()
 
 
+def raw_variant(spark: SparkSession, d: str, batches: int = standins.BATCHES) -> DataFrame:
+    """RAW with VARIANT images: the same fields, read without a schema."""
+    layout = Layout(fresh_dir(spark, "raw-variant"))
+    start_raw_variant(_stream(spark, d, "sales_transactions", batches), SALES, layout, AVAILABLE_NOW).awaitTermination()
+    return spark.read.parquet(layout.raw("sales_transactions_variant")).select(
+        "op",
+        *image_fields("before", SALES, "txn_id"),
+        *image_fields("after", SALES, "txn_id", "customer_id", "total_amount"),
+        "source_ts_ms",
+    )
+
+
 def raw_ingest(spark: SparkSession, d: str, batches: int = standins.BATCHES) -> DataFrame:
     layout = Layout(fresh_dir(spark, "raw-ingest"))
     _run_raw(spark, d, "sales_transactions", layout, False, batches)
@@ -259,27 +286,24 @@ def silver_stream_sales(spark: SparkSession, d: str, batches: int = standins.BAT
 
 
 def silver_stream_compacted(spark: SparkSession, d: str) -> DataFrame:
-    """Customers: the snapshot becomes the base, the events are applied to it as deltas."""
+    """Customers: the snapshot comes first, the events are folded into its buckets."""
     layout = Layout(fresh_dir(spark, "silver-customers"))
     inbox = fresh_dir(spark, "customers-inbox")
     records = standins.customer_records(spark, d).withColumn("is_snapshot", F.col("offset") < 0)
     for snapshot in (True, False):
         records.filter(F.col("is_snapshot") == snapshot).drop("is_snapshot").write.mode("append").json(inbox)
         start_silver(file_records(spark, inbox), CUSTOMERS, layout, AVAILABLE_NOW).awaitTermination()
-        if snapshot:
-            compact(spark, layout, CUSTOMERS)
     return read_silver(spark, layout, CUSTOMERS).select("customer_id", "name", "loyalty_tier", "total_spend")
 
 
 def silver_late_changes(spark: SparkSession, d: str) -> DataFrame:
-    """Sales whose newer changes, deletes among them, are compacted before the older ones arrive."""
+    """Sales whose newer changes, deletes among them, are stored before the older ones arrive."""
     layout = Layout(fresh_dir(spark, "silver-late"))
     inbox = fresh_dir(spark, "late-inbox")
     records = standins.sale_records(spark, d).withColumn("is_new", F.col("timestamp") >= F.lit("1995-06-17").cast("timestamp"))
     for newer in (True, False):
         records.filter(F.col("is_new") == newer).drop("is_new").write.mode("append").json(inbox)
         start_silver(file_records(spark, inbox), SALES, layout, AVAILABLE_NOW).awaitTermination()
-        compact(spark, layout, SALES)
     return read_silver(spark, layout, SALES).select(*standins.SALE_COLUMNS, "customer_id")
 
 
@@ -324,6 +348,24 @@ def change_log_rollup(spark: SparkSession, d: str) -> DataFrame:
     return changelog.change_log_rollup(_sale_log(spark, d))
 
 
+def change_log_rollup_ranked(spark: SparkSession, d: str) -> DataFrame:
+    """Keys of two columns, as text; those of a quarter lie in one batch."""
+    lines = standins.sale_lines(spark, d).withColumn("line", F.col("txn_id") % 8)
+    quarter = F.year("shipped_at") * 10 + F.quarter("shipped_at")
+    return changelog.ranked_rollup(
+        changelog.change_log(lines, "sales_transactions", ["order_id", "line"], F.col("shipped_at"), quarter)
+    )
+
+
+def change_log_lookup(spark: SparkSession, d: str) -> DataFrame:
+    """What happened to the ten largest sales since 1994, from the stored log."""
+    layout = Layout(fresh_dir(spark, "log-lookup"))
+    store_log(layout, _sale_log(spark, d))
+    largest = standins.sale_changes(spark, d).orderBy(F.desc("total_amount"), "txn_id").limit(10)  # the feature: a top ten
+    keys = sorted({str(r.txn_id) for r in largest.collect()})
+    return changelog.lookup(read_change_log(spark, layout), "sales_transactions", keys, datetime.datetime(1994, 1, 1))
+
+
 # --- GOLD ------------------------------------------------------------------
 
 
@@ -392,6 +434,15 @@ def merge_customer_loyalty(spark: SparkSession, d: str) -> DataFrame:
     return _merge_into_stored(spark, "customer_loyalty", before, after)
 
 
+def merge_bucketed(spark: SparkSession, d: str) -> DataFrame:
+    """The sales summary as a bucketed catalog table: created by an early run, merged into by a later one."""
+    early, now = _split_by_time(spark, d)
+    table = f"sales_summary_{uuid.uuid4().hex}"
+    for sales, at in ((early, FIRST_RUN), (now, SECOND_RUN)):
+        merge.merge_bucketed(gold.sales_summary(sales, _at(at)), table, ["store_id", "product_id"], 8)
+    return spark.table(table)
+
+
 def insert_if_absent(spark: SparkSession, d: str) -> DataFrame:
     """Edges between users and event types: those of small events exist already."""
     events = read_table(spark, d, "events").select("user_id", "event_type", "event_id", "value")
@@ -403,7 +454,7 @@ def insert_if_absent(spark: SparkSession, d: str) -> DataFrame:
 def gold_scan(spark: SparkSession, d: str) -> DataFrame:
     """The published aggregate, read through SQL."""
     layout = Layout(fresh_dir(spark, "gold-scan"))
-    publish_gold(spark, layout, "sales_summary", sales_summary(spark, d), _at(SECOND_RUN))
+    publish_gold(spark, layout, "sales_summary", sales_summary(spark, d))
     view = f"sales_summary_{uuid.uuid4().hex}"
     serving_view(spark, layout, "sales_summary", SALES_SUMMARY_DDL, view=view)
     return spark.sql(f"SELECT store_id, product_id, total_qty, total_amount, txn_count, updated_at FROM {view}")
@@ -463,6 +514,32 @@ def selective_refresh(spark: SparkSession, d: str) -> DataFrame:
     return result
 
 
+def _ticks(spark: SparkSession, d: str, table: str, batches: int) -> DataFrame:
+    """The inputs of an aggregate in micro-batches; it follows their images, sometimes those of several batches."""
+    layout = Layout(fresh_dir(spark, f"incremental-{table}"))
+    marks: dict[str, int] = {}
+    for source in AGGREGATES[f"gold.{table}"]().change:
+        entity = standins.STANDIN_ENTITIES[source]
+        records = standins.RECORDS[source](spark, d)
+        # Later parts hold older changes of many keys, too: the order of arrival is not that of the changes.
+        part = F.pmod(F.xxhash64("offset"), F.lit(batches))
+        for n in range(batches):
+            changes = decode_changelog(records.filter(part == n), entity)
+            commit_batch(spark, layout, entity, changes, n, F.current_timestamp(), with_feed=True)
+            if n != 1:
+                advance(spark, layout, f"gold.{table}", marks, {source: n}, _at(SECOND_RUN), standins.STANDIN_ENTITIES)
+                marks[source] = n
+    return read_gold(spark, layout, table, gold.GOLD[f"gold.{table}"][0])
+
+
+def incremental_sales_summary(spark: SparkSession, d: str, batches: int = 3) -> DataFrame:
+    return _ticks(spark, d, "sales_summary", batches)
+
+
+def incremental_customer_loyalty(spark: SparkSession, d: str, batches: int = 3) -> DataFrame:
+    return _ticks(spark, d, "customer_loyalty", batches)
+
+
 # --- maintenance -----------------------------------------------------------
 
 
@@ -569,16 +646,26 @@ def gold_reconcile(spark: SparkSession, d: str) -> DataFrame:
     return reconcile.reconcile(recomputed, merge_sales_summary(spark, d), ["store_id", "product_id"])
 
 
+def gold_reconcile_digest(spark: SparkSession, d: str) -> DataFrame:
+    """The same, joined only where the digests of aggregate and recomputation differ."""
+    _, now = _split_by_time(spark, d)
+    keys = ["store_id", "product_id"]
+    recomputed = gold.sales_summary(now, _at(SECOND_RUN))
+    return reconcile.reconcile(*digest.differing(recomputed, merge_sales_summary(spark, d), keys), keys)
+
+
 QUERIES = {
     "cdc_scan": cdc_scan,
     "cdc_include": cdc_include,
     "snapshot_envelope": snapshot_envelope,
     "snapshot_diff": snapshot_diff,
+    "snapshot_diff_digest": snapshot_diff_digest,
     "gold_scan": gold_scan,
     "decode_lenient": decode_lenient,
     "decode_changelog": decode_strict,
     "completed_sales": completed_sales,
     "raw_ingest": raw_ingest,
+    "raw_variant": raw_variant,
     "silver_customers": silver_customers,
     "silver_products": silver_products,
     "silver_sales_transactions": silver_sales_transactions,
@@ -590,8 +677,11 @@ QUERIES = {
     "independent_streams": independent_streams,
     "merge_sales_summary": merge_sales_summary,
     "merge_customer_loyalty": merge_customer_loyalty,
+    "merge_bucketed": merge_bucketed,
     "change_log": change_log,
     "change_log_rollup": change_log_rollup,
+    "change_log_rollup_ranked": change_log_rollup_ranked,
+    "change_log_lookup": change_log_lookup,
     "create_if_absent": create_if_absent,
     "insert_if_absent": insert_if_absent,
     "sales_summary": sales_summary,
@@ -602,6 +692,8 @@ QUERIES = {
     "impacted_gold": impacted_gold,
     "next_watermark": next_watermark,
     "selective_refresh": selective_refresh,
+    "incremental_sales_summary": incremental_sales_summary,
+    "incremental_customer_loyalty": incremental_customer_loyalty,
     "expired_snapshots": expired_snapshots,
     "orphans": orphans,
     "maintenance_report": maintenance_report,
@@ -611,4 +703,5 @@ QUERIES = {
     "silver_reconcile": silver_reconcile,
     "changelog_gaps": changelog_gaps,
     "gold_reconcile": gold_reconcile,
+    "gold_reconcile_digest": gold_reconcile_digest,
 }

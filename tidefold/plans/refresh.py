@@ -9,14 +9,16 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidefold.operators.impact import MARKS_DDL, advanced_marks, dependents
-from tidefold.operators.merge import merge
 from tidefold.plans.gold import GOLD, customer_loyalty, sales_summary
+from tidefold.plans.incremental import AGGREGATES, advance
 from tidefold.schemas import DEPENDENCY_GRAPH, ENTITIES, GRAPH_DDL, Entity
-from tidefold.sinks.gold import publish_gold, read_gold
-from tidefold.sinks.layout import Layout, newest, record_snapshot
+from tidefold.sinks.buckets import read_bucketed, upsert
+from tidefold.sinks.gold import merge_gold
+from tidefold.sinks.layout import Layout
 from tidefold.sinks.silver import read_change_log, read_silver
 from tidefold.sources.tables import read_or_empty
 
+MARKS = "control.marks"
 
 
 def seed_graph(spark: SparkSession) -> DataFrame:
@@ -67,27 +69,20 @@ def refresh_table(
     null_safe: bool = False,
     delete_unmatched: bool = False,
     entities: Mapping[str, Entity] = ENTITIES,
-) -> int:
-    """Merge a recomputation into the aggregate and publish the result."""
-    ddl, keys = GOLD[gold_table]
-    name = gold_table.split(".")[-1]
-    merged = merge(
-        read_gold(spark, layout, name, ddl),
-        build(spark, layout, gold_table, as_of, entities),
-        keys,
-        null_safe=null_safe,
-        delete_unmatched=delete_unmatched,
-    )
-    return publish_gold(spark, layout, name, merged)
+) -> None:
+    """Merge a recomputation into the aggregate."""
+    rows = build(spark, layout, gold_table, as_of, entities)
+    merge_gold(spark, layout, gold_table.split(".")[-1], rows, null_safe, delete_unmatched)
 
 
 def stored_marks(spark: SparkSession, layout: Layout) -> dict[str, int]:
-    """The last batch of each table that has been handled."""
-    found = newest(spark, layout, "control.marks", "marks")
-    if found is None:
-        return {}
-    # One row per captured table.
-    return {row.table_name: row.mark for row in spark.read.schema(MARKS_DDL).parquet(found[1]).collect()}
+    """The last batch of each table that has been handled: one row per captured table."""
+    return {row.table_name: row.mark for row in read_bucketed(spark, layout, MARKS, MARKS_DDL).collect()}
+
+
+def store_marks(spark: SparkSession, layout: Layout, marks: Mapping[str, int]) -> None:
+    rows = spark.createDataFrame(list(marks.items()), MARKS_DDL)
+    upsert(spark, layout, MARKS, MARKS_DDL, ["table_name"], rows, lambda old, new, _: new.coalesce(1), buckets=1)
 
 
 def refresh(
@@ -97,6 +92,7 @@ def refresh(
     null_safe: bool = False,
     delete_unmatched: bool = False,
     entities: Mapping[str, Entity] = ENTITIES,
+    incremental: bool = False,
 ) -> list[str]:
     """One tick: find the impacted aggregates, rebuild them in turn, advance the marks.
 
@@ -104,6 +100,9 @@ def refresh(
     rebuild succeeded: changes committed meanwhile, and failed rebuilds, are
     seen by the next tick.  Edges to an aggregate without a builder are warned
     of and left out, so that they do not hold up the others.
+
+    With ``incremental`` the aggregates follow the row images that the streams
+    have kept: the work is that of the changes, and groups that are gone go.
     """
     graph = ensure_graph(spark, layout)
     lacking = unbuildable(graph)
@@ -119,11 +118,9 @@ def refresh(
     # At most one name per aggregate table.
     tables = [row.gold_table for row in dependents(graph, changed).collect()]
     for table in tables:
-        refresh_table(spark, layout, table, as_of, null_safe, delete_unmatched, entities)
-
-    found = newest(spark, layout, "control.marks", "marks")
-    version = 0 if found is None else found[0] + 1
-    path = f"{layout.marks}/version={version}"
-    spark.createDataFrame(list({**marks, **moved}.items()), MARKS_DDL).coalesce(1).write.mode("overwrite").parquet(path)
-    record_snapshot(spark, layout, "control.marks", "marks", version, path, F.current_timestamp())
+        if incremental and table in AGGREGATES:
+            advance(spark, layout, table, marks, moved, as_of, entities)
+        else:
+            refresh_table(spark, layout, table, as_of, null_safe, delete_unmatched, entities)
+    store_marks(spark, layout, {**marks, **moved})
     return tables

@@ -1,22 +1,10 @@
-"""Where tables live, and the list of snapshots that readers may see.
-
-Plain Parquet folders.  A writer first fills folders of its own, then records
-them as one snapshot; readers follow the records, so nothing half-written is
-read, and all folders of a snapshot become visible together.  A repeated attempt
-adds a record, of which readers follow the newest; folders that no record names
-are left to the removal of orphan files.
-"""
+"""Where tables live. Plain Parquet folders; the partition columns are in the names of the folders."""
 
 from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, SparkSession
-from pyspark.sql import functions as F
-
-from tidefold.sources.tables import read_or_empty
-
-SNAPSHOT_DDL = "path STRING, log_path STRING, committed_at TIMESTAMP, table_name STRING, kind STRING, snapshot_id BIGINT"
+from pyspark.sql import SparkSession
 
 
 @dataclass(frozen=True)
@@ -26,36 +14,26 @@ class Layout:
     def raw(self, table: str) -> str:
         return f"{self.root}/raw/{table}"
 
-    def deltas(self, table: str) -> str:
-        return f"{self.root}/silver/{table}/delta"
+    def table(self, name: str) -> str:
+        """A keyed table, named with its layer: ``silver.customers``, ``gold.sales_summary``, ``control.marks``."""
+        return f"{self.root}/{name.replace('.', '/')}"
 
-    def delta(self, table: str, batch_id: int, attempt: str) -> str:
-        return f"{self.deltas(table)}/{batch_id}-{attempt}"
+    def staged(self, name: str) -> str:
+        """Buckets of a keyed table that are written and not yet in place."""
+        return f"{self.root}/staged/{name}"
 
-    def base(self, table: str, snapshot_id: int, attempt: str) -> str:
-        return f"{self.root}/silver/{table}/base/{snapshot_id}-{attempt}"
-
-    def gold(self, table: str, version: int) -> str:
-        return f"{self.root}/gold/{table}/version={version}"
-
-    def change_log(self, table: str, batch_id: int, attempt: str) -> str:
-        return f"{self.root}/silver/{table}/log/{batch_id}-{attempt}"
+    def feed(self, table: str) -> str:
+        """Signed row images of a current-state table, a folder for each micro-batch."""
+        return f"{self.root}/feed/{table}"
 
     @property
-    def snapshots(self) -> str:
-        return f"{self.root}/control/snapshots"
-
-    def snapshot(self, table: str, kind: str, snapshot_id: int) -> str:
-        return f"{self.snapshots}/table_name={table}/kind={kind}/snapshot_id={snapshot_id}"
+    def log(self) -> str:
+        return f"{self.root}/control/change_log"
 
     @property
     def graph(self) -> str:
         return f"{self.root}/control/gold_dependency_graph"
 
-    @property
-    def marks(self) -> str:
-        return f"{self.root}/control/marks"
-
     @property
     def audit(self) -> str:
         return f"{self.root}/control/audit"
@@ -64,43 +42,17 @@ class Layout:
         return f"{self.root}/checkpoints/{query}"
 
 
-def record_snapshot(
-    spark: SparkSession,
-    layout: Layout,
-    table: str,
-    kind: str,
-    snapshot_id: int,
-    path: str,
-    committed_at: Column,
-    log_path: str | None = None,
-) -> None:
-    row = spark.range(1).select(
-        F.lit(path).alias("path"),
-        F.lit(log_path).cast("string").alias("log_path"),
-        committed_at.cast("timestamp").alias("committed_at"),
-    )
-    row.coalesce(1).write.mode("append").parquet(layout.snapshot(table, kind, snapshot_id))
-
-
-def snapshots(spark: SparkSession, layout: Layout) -> DataFrame:
-    """One row per snapshot: the newest record of those that its attempts have left."""
-    columns = [c.split()[0] for c in SNAPSHOT_DDL.split(", ")]
-    return (
-        read_or_empty(spark, layout.snapshots, SNAPSHOT_DDL)
-        .groupBy("table_name", "kind", "snapshot_id")
-        .agg(F.max(F.struct("committed_at", "path", "log_path")).alias("_newest"))
-        .select("table_name", "kind", "snapshot_id", "_newest.*")
-        .select(*columns)
-    )
-
-
-def newest(spark: SparkSession, layout: Layout, table: str, kind: str) -> tuple[int, str] | None:
-    """Id and path of the newest snapshot of a table."""
-    rows = (
-        snapshots(spark, layout)
-        .filter((F.col("table_name") == table) & (F.col("kind") == kind))
-        .select("snapshot_id", "path")
-        .orderBy(F.desc("snapshot_id"))
-        .take(1)
-    )
-    return (rows[0].snapshot_id, rows[0].path) if rows else None
+def _located(spark: SparkSession, path: str):
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return target.getFileSystem(spark._jsc.hadoopConfiguration()), target
+
+
+def path_exists(spark: SparkSession, path: str) -> bool:
+    system, target = _located(spark, path)
+    return system.exists(target)
+
+
+def delete_path(spark: SparkSession, path: str) -> bool:
+    """Delete a file or a folder through the cluster's file system; an absent one is fine."""
+    system, target = _located(spark, path)
+    return system.delete(target, True)
