@@ -1,6 +1,7 @@
 from __future__ import annotations
 
 import random
+from collections import Counter
 
 import numpy as np
 from llm_data import awkward_rows, frame
@@ -34,6 +35,38 @@ def test_held_out_accuracy(spark):
         assert all(0 <= r.score <= 1 for r in found.values())
 
 
+def brute(train, text):
+    """Sets of n-grams instead of filters: the language whose n-grams make up most of the text."""
+
+    def grams_of(body):
+        letters = "".join(c.lower()[0] if c.isalpha() else " " for c in body)
+        run = " " + " ".join(letters.split()) + " "
+        return [run[i : i + 4] for i in range(len(run) - 3)]
+
+    counts = {}
+    for _, body, language, _ in train:
+        counts.setdefault(language, Counter()).update(grams_of(body))
+    own, shares = grams_of(text), {}
+    for language, n in sorted(counts.items()):
+        total = sum(n.values())
+        kept = {g for g, c in n.items() if c > 1 and c >= total * langid.LEAST_SHARE}
+        shares[language] = sum(g in kept for g in own) / (len(own) * sum(n[g] for g in kept) / total)
+    best = max(shares, key=shares.get)
+    return best, shares[best] / sum(shares.values())
+
+
+def test_filters_decide_as_the_sets_do(spark):
+    for languages in (4, 9):
+        rows = corpus(languages, docs=12)
+        train, test = [r for r in rows if r[0] % 3], [r for r in rows if r[0] % 3 == 0]
+        # Texts of two languages and of words that none has.
+        test += [(9000 + k, f"{tongue(0, k, 9)} {tongue(1, k, 4)} xqzw", "x", "a") for k in range(10)]
+        found = {r.doc_id: r for r in identify(frame(spark, test), fit(frame(spark, train))).collect()}
+        for i, text, *_ in test:
+            language, score = brute(train, text)
+            assert found[i].lang_pred == language and abs(found[i].score - score) < 1e-3
+
+
 def test_awkward_texts(spark):
     model = fit(frame(spark, corpus(3)))
     rows = awkward_rows()

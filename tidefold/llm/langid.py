@@ -14,10 +14,10 @@ from dataclasses import asdict, dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidefold.llm.common import missing
+from tidefold.llm.common import missing, settled
 
 GRAM = 4
 HASHES = 2
@@ -136,9 +136,10 @@ def fit(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: str =
     languages = sorted(sizes)
     draw = F.pmod(F.xxhash64(F.col("id").cast("string")), F.lit(1 << 30)) / float(1 << 30)
     share = F.create_map(*[F.lit(x) for k, n in sizes.items() for x in (k, min(1.0, DOCS_PER_LANGUAGE / n))])
-    counts = _counted(labelled.filter(draw < share[F.col("language")]).select("text", "language"))
-    totals = F.sum("n").over(Window.partitionBy("language"))
-    kept = counts.withColumn("total", totals).filter((F.col("n") >= F.col("total") * LEAST_SHARE) & (F.col("n") > 1))
+    counts = settled(_counted(labelled.filter(draw < share[F.col("language")]).select("text", "language")))
+    totals = counts.groupBy("language").agg(F.sum("n").alias("total"))  # a row for each language
+    kept = counts.join(F.broadcast(totals), "language")
+    kept = kept.filter((F.col("n") >= F.col("total") * LEAST_SHARE) & (F.col("n") > 1))
     rows = kept.select("language", "gram", (F.col("n") / F.col("total")).alias("share")).toPandas()
     words = (len(languages) + 63) // 64
     table = np.zeros(1 << TABLE_BITS, np.uint8) if len(languages) <= 8 else np.zeros((1 << TABLE_BITS, words), np.uint64)
