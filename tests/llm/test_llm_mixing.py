@@ -1,9 +1,12 @@
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pytest
 from llm_data import WORD, awkward_rows, frame, prose
 
+from tidefold.llm import mixing
 from tidefold.llm.mixing import mix, mixed, round_cells, targets
 
 
@@ -65,6 +68,22 @@ def test_rates_are_exponential_tilts(spark):
         assert np.ptp(tilts) < 1e-4
 
 
+def test_halving_alone_converges(spark, monkeypatch):
+    cells = spark.createDataFrame([(1, 1, 10, 5), (1, 1, 300, 4), (2, 2, 7, 9)], "source_key int, x int, size long, n long").drop("x")
+    wanted = spark.createDataFrame([(1, 700.0, 1250), (2, 100.0, 63)], "source_key int, target double, source_size long")
+    monkeypatch.setattr(mixing, "TOLERANCE", 1e-3)
+    found = {}
+    for steps in (40, 0):
+        monkeypatch.setattr(mixing, "STEPS", steps)
+        found[steps] = dict(map(tuple, mixing.multipliers(cells, wanted).collect()))
+    words = {}
+    for steps, tilt in found.items():
+        rate = lambda key, size, tilt=tilt: min(2.0, math.exp(tilt[key] * size))
+        words[steps] = (5 * 10 * rate(1, 10) + 4 * 300 * rate(1, 300), 9 * 7 * rate(2, 7))
+    for got in words.values():
+        assert abs(got[0] - 700) <= 0.7 and abs(got[1] - 100) <= 0.1
+
+
 def test_reruns_agree(spark):
     docs = frame(spark, corpus())
     read = lambda d: sorted((r.doc_id or -1, r.taken, r.target) for r in mix(d).collect())

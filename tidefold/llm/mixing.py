@@ -65,7 +65,8 @@ def multipliers(cells: DataFrame, wanted: DataFrame) -> DataFrame:
     """The tilt of each source: ``wanted`` (``source_key``, ``target``, ``source_size``) with ``multiplier``.
 
     ``cells`` holds how many documents ``n`` of each ``size`` a ``source_key`` has. A Newton step that leaves the
-    interval known to hold the root is replaced by its middle, so the iteration cannot run away.
+    interval known to hold the root is replaced by its middle, and so is every step after the first STEPS: the
+    iteration cannot run away, and it ends only when all sources have converged.
     """
     least = cells.filter("size > 0").groupBy("source_key").agg(F.min("size").alias("least"))
     state = wanted.join(least, "source_key").filter("target > 0")
@@ -74,8 +75,8 @@ def multipliers(cells: DataFrame, wanted: DataFrame) -> DataFrame:
         "source_key", "target", F.lit(0.0).alias("multiplier"), F.least(ratio, F.lit(0.0)).alias("lo"),
         (F.lit(log(MOST_COPIES)) / F.col("least")).alias("hi"),
     )
-    state = settled(state)
-    for _ in range(STEPS):
+    state, steps = settled(state), 0
+    while True:
         rate = _rate(F.col("multiplier"), F.col("size"))
         words = F.col("n") * F.col("size") * rate
         slope = F.when(rate < MOST_COPIES, words * F.col("size")).otherwise(0.0)
@@ -87,19 +88,21 @@ def multipliers(cells: DataFrame, wanted: DataFrame) -> DataFrame:
         high = F.col("words") > F.col("target")
         lo, hi = F.when(high, F.col("lo")).otherwise(F.col("multiplier")), F.when(high, F.col("multiplier")).otherwise(F.col("hi"))
         step = F.col("multiplier") + (F.col("target") - F.col("words")) / F.nullif("slope", F.lit(0.0))
-        inside = F.coalesce((step > lo) & (step < hi), F.lit(False))
+        steps, middle = steps + 1, (lo + hi) / 2
+        # After STEPS the interval is halved each time, until no number lies within it.
+        inside = F.coalesce((step > lo) & (step < hi), F.lit(False)) & F.lit(steps <= STEPS)
         done = F.abs(F.col("words") - F.col("target")) <= F.lit(TOLERANCE) * F.col("target")
+        done = done | (F.lit(steps > STEPS) & ((middle <= lo) | (middle >= hi)))
         state = settled(
             sums.select(
                 "source_key", "target",
-                F.when(done, F.col("multiplier")).when(inside, step).otherwise((lo + hi) / 2).alias("multiplier"),
+                F.when(done, F.col("multiplier")).when(inside, step).otherwise(middle).alias("multiplier"),
                 F.when(done, F.col("lo")).otherwise(lo).alias("lo"), F.when(done, F.col("hi")).otherwise(hi).alias("hi"),
                 done.alias("done"),
             )
         )
         if state.filter(~F.col("done")).isEmpty():
-            break
-    return state.select("source_key", "multiplier")
+            return state.select("source_key", "multiplier")
 
 
 def round_cells(size: np.ndarray, n: np.ndarray, rate: np.ndarray) -> np.ndarray:
