@@ -1,4 +1,9 @@
-"""Quality rules: a table of thresholds, compiled into one projection."""
+"""Quality rules: a table of thresholds, compiled into one projection.
+
+RULES are made for languages written with blanks between words whose frequent words are in STOP_WORDS: English, French,
+German and Spanish. A clean text in another language, or in a script without blanks, fails ``stop_word_share`` or
+``mean_word_chars``; leave these two out of the table for such texts.
+"""
 
 from __future__ import annotations
 
@@ -150,7 +155,10 @@ def quality_rules(
 
 
 def keep_good(docs: DataFrame, text: str = "text", rules: Mapping[str, Bounds] = RULES) -> DataFrame:
-    """The documents, with all their columns, that no rule rejects."""
+    """The documents, with all their columns, that no rule rejects; see ``quality_rules`` for NULLs and other cases.
+
+    Repeated rows stay or go together. An empty table stays empty.
+    """
     missing(docs, text)
     failed = compiled({n: RULES[n] for n in BASE} | dict(rules))
     bad = F.lit(False)
