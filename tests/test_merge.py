@@ -4,7 +4,7 @@ import pytest
 from conftest import plan_of, values
 from pyspark.sql import functions as F
 
-from tidefold.operators.merge import insert_if_absent, merge
+from tidefold.operators.merge import insert_if_absent, merge, merge_bucketed
 from tidefold.plans.gold import sales_summary
 
 DDL = "a INT, b INT, v STRING"
@@ -92,3 +92,27 @@ def test_summary_edge_cases(spark):
     found = sales_summary(spark.createDataFrame(rows, ddl), F.lit("2024-01-01").cast("timestamp")).drop("updated_at")
     assert values(found) == [(1, 1, 2, None, 2), (None, 1, 4, None, 1)]
     assert sales_summary(spark.createDataFrame([], ddl)).count() == 0
+
+
+def test_bucketed_table_is_merged_without_a_shuffle_of_its_rows(spark, layout):
+    name = "bucketed_" + layout.root.rsplit("-", 1)[1]
+    first = frame(spark, *[(i, i % 3, f"old{i}") for i in range(50)], (None, 1, "null"))
+    second = frame(spark, *[(i, i % 3, f"new{i}") for i in range(40, 60)], (None, 1, "another"))
+    with_join(spark, -1)
+    try:
+        for source in (first, second):
+            merge_bucketed(source, name, KEYS, 4)
+        assert values(spark.table(name)) == values(merge(first, second, KEYS))
+        files = len(spark.table(name).inputFiles())
+        plan = plan_of(merge(spark.table(name), frame(spark, (1, 1, "x")).repartition(4, *KEYS), KEYS))
+    finally:
+        with_join(spark, 10 << 20)
+    assert "Bucketed: true" in plan and "SortMergeJoin" in plan
+    # One exchange, that of the source.
+    assert plan.count("Exchange") == plan.count("REPARTITION_BY_NUM") == 1
+    assert files <= 4 + 1  # one for each bucket; rows with a NULL key pass by the join
+    assert not spark.catalog.tableExists(f"{name}_next")
+
+
+def with_join(spark, limit):
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", str(limit))

@@ -76,11 +76,12 @@ def merge_bucketed(source: DataFrame, table: str, keys: Sequence[str], buckets:
     """
     spark = source.sparkSession
     following = f"{table}_next"
-    result = merge(spark.table(table), source, keys) if spark.catalog.tableExists(table) else source
-    # A task for each bucket writes one file.
-    dealt = result.repartition(buckets, *keys)
+    # Dealt as the table is: the only shuffle. A task then holds whole buckets of both and writes a file for each.
+    result = dealt = source.repartition(buckets, *keys)
+    if spark.catalog.tableExists(table):
+        result = merge(spark.table(table), dealt, keys)
     spark.sql(f"DROP TABLE IF EXISTS {following}")
-    dealt.write.bucketBy(buckets, *keys).sortBy(*keys).format("parquet").saveAsTable(following)
+    result.write.bucketBy(buckets, *keys).sortBy(*keys).format("parquet").saveAsTable(following)
     spark.sql(f"DROP TABLE IF EXISTS {table}")
     spark.sql(f"ALTER TABLE {following} RENAME TO {table}")
 
