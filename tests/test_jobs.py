@@ -43,6 +43,27 @@ def test_all_jobs_from_landing_to_aggregate(spark, layout, capsys):
     main(["check", *root], spark)
     assert "different" not in capsys.readouterr().out
     assert read_gold(spark, layout, "sales_summary", GOLD["gold.sales_summary"][0]).count() == 1
+    name = "catalog_" + layout.root.rsplit("-", 1)[1]
+    for _ in range(2):  # created, then merged into
+        main(["gold", *root, "--table", "gold.sales_summary", "--catalog-table", name, "--buckets", "4"], spark)
+    assert values(spark.table(name).select("store_id", "product_id", "txn_count")) == [(7, 8, 1)]
+
+
+def test_incremental_ticks_follow_the_streams(spark, layout, capsys):
+    inbox = f"{layout.root}/inbox"
+    schema = (
+        "op STRING, txn_id INT, store_id INT, product_id INT, customer_id INT, qty INT, total_amount DOUBLE,"
+        " status STRING, ts_ms BIGINT, offset BIGINT"
+    )
+    bus = ["--topic-prefix", "p", "--landing", inbox, "--tables", "sales_transactions", "--once", "--with-feed"]
+    for op, qty, at in (("c", 2, 5), ("u", 9, 6)):
+        sales = spark.createDataFrame([(op, 1, 7, 8, 1, qty, 1.5, "completed", at, at)], schema)
+        write_records(change_records(sales, SALES_TRANSACTIONS, "p.sales_transactions"), path=f"{inbox}/p.sales_transactions")
+        main(["stream", "--root", layout.root, *bus], spark)
+        main(["tick", "--root", layout.root, "--incremental"], spark)
+    assert capsys.readouterr().out.split() == ["gold.customer_loyalty", "gold.sales_summary"] * 2
+    found = read_gold(spark, layout, "sales_summary", GOLD["gold.sales_summary"][0])
+    assert values(found.select("store_id", "total_qty", "txn_count")) == [(7, 9, 1)]
 
 
 def test_a_failing_query_ends_the_job(spark, layout):

@@ -24,6 +24,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from tidefold.operators.capture import snapshot_records
+from tidefold.operators.merge import merge_bucketed
 from tidefold.operators.reconcile import reconcile
 from tidefold.plans.gold import GOLD
 from tidefold.plans.maintenance import maintain
@@ -87,6 +88,10 @@ def run_snapshot(spark: SparkSession, args: argparse.Namespace) -> None:
 
 
 def run_gold(spark: SparkSession, args: argparse.Namespace) -> None:
+    if args.catalog_table:
+        rows = build(spark, Layout(args.root), args.table)
+        merge_bucketed(rows, args.catalog_table, GOLD[args.table][1], args.buckets)
+        return
     refresh_table(
         spark, Layout(args.root), args.table, null_safe=args.null_safe, delete_unmatched=args.delete_unmatched
     )
@@ -163,6 +168,8 @@ def parser() -> argparse.ArgumentParser:
         sub.add_argument("--delete-unmatched", action="store_true")
         if name == "gold":
             sub.add_argument("--table", required=True, choices=list(GOLD))
+            sub.add_argument("--catalog-table", help="merge into this table of the catalog instead, bucketed by its keys")
+            sub.add_argument("--buckets", type=int, default=64, help="of the catalog table")
         else:
             sub.add_argument("--incremental", action="store_true", help="by row images; streams run --with-feed from the start")
 
