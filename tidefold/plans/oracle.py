@@ -100,23 +100,60 @@ store_last as (
 
 _SALES_COLUMNS = "txn_id, store_id, product_id, customer_id, qty, total_amount, status"
 
+_IMAGE = ("txn_id", "store_id", "product_id", "customer_id", "qty", "unit_price", "total_amount", "status", "name",
+          "loyalty_tier", "total_spend", "category", "brand", "is_active", "city", "region")
+
+
+def _image(**known: str) -> str:
+    """The fields of a row image as text, in order; those that a table lacks are NULL."""
+    return " || '|' || ".join(f"coalesce(cast({known[c]} as varchar), '~')" if c in known else "'~'" for c in _IMAGE)
+
+
 ORACLE = {
-    "cdc_scan": """
+    "cdc_scan": f"""
         with sent as (
           select 'sales_transactions' as t, l_orderkey * 8 + l_linenumber as key,
                  l_partkey * 2147483648 + l_suppkey as "offset", epoch_ms(l_shipdate) as ts_ms,
-                 case l_returnflag when 'R' then 'd' when 'A' then 'u' else 'c' end as op from lineitem
-          union all select 'customers', c_custkey, -1, 0, 'r' from customer
-          union all select 'customers', user_id, event_id, epoch_us(ts) // 1000,
-                           case event_type when 'error' then 'd' when 'signup' then 'c' else 'u' end from events
-          union all select 'products', p_partkey, -1, 0, 'r' from part
-          union all select 'products', l_partkey, (l_orderkey * 8 + l_linenumber) * 16777216 + l_suppkey,
-                           epoch_ms(l_shipdate), 'u' from lineitem
-          union all select 'stores', s_suppkey, -1, 0, 'r' from supplier
-          union all select 'stores', l_suppkey, (l_orderkey * 8 + l_linenumber) * 16777216 + l_partkey,
-                           epoch_ms(l_shipdate), case l_linestatus when 'F' then 'd' else 'u' end from lineitem)
+                 case l_returnflag when 'R' then 'd' when 'A' then 'u' else 'c' end as op,
+                 {_image(txn_id="l_orderkey * 8 + l_linenumber", store_id="l_suppkey", product_id="l_partkey",
+                         customer_id="o_custkey", qty="cast(l_quantity as int)",
+                         total_amount="cast(l_extendedprice as decimal(12,2))",
+                         status="case l_linestatus when 'F' then 'completed' else 'pending' end")} as image
+          from lineitem left join orders on l_orderkey = o_orderkey
+          union all
+          select 'customers', c_custkey, -1, 0, 'r',
+                 {_image(customer_id="c_custkey", name="c_name", loyalty_tier="c_mktsegment",
+                         total_spend="cast(c_acctbal as decimal(12,2))")}
+          from customer
+          union all
+          select 'customers', user_id, event_id, epoch_us(ts) // 1000,
+                 case event_type when 'error' then 'd' when 'signup' then 'c' else 'u' end,
+                 {_image(customer_id="user_id", name="c_name", loyalty_tier="event_type",
+                         total_spend="cast(value as decimal(12,2))")}
+          from events left join customer on user_id = c_custkey
+          union all
+          select 'products', p_partkey, -1, 0, 'r',
+                 {_image(product_id="p_partkey", unit_price="cast(p_retailprice as decimal(12,2))", name="p_name",
+                         category="p_type", brand="p_brand", is_active="p_size > 0")}
+          from part
+          union all
+          select 'products', l_partkey, (l_orderkey * 8 + l_linenumber) * 16777216 + l_suppkey, epoch_ms(l_shipdate), 'u',
+                 {_image(product_id="l_partkey", unit_price="cast(l_extendedprice as decimal(12,2))", name="p_name",
+                         category="p_type", brand="p_brand", is_active="l_returnflag <> 'R'")}
+          from lineitem left join part on l_partkey = p_partkey
+          union all
+          select 'stores', s_suppkey, -1, 0, 'r',
+                 {_image(store_id="s_suppkey", name="s_name", city="n_name", region="r_name")}
+          from supplier left join nation on s_nationkey = n_nationkey left join region on n_regionkey = r_regionkey
+          union all
+          select 'stores', l_suppkey, (l_orderkey * 8 + l_linenumber) * 16777216 + l_partkey,
+                 epoch_ms(l_shipdate), case l_linestatus when 'F' then 'd' else 'u' end,
+                 {_image(store_id="l_suppkey", name="s_name", city="n_name", region="r_name", is_active="l_returnflag <> 'R'")}
+          from lineitem left join supplier on l_suppkey = s_suppkey
+          left join nation on s_nationkey = n_nationkey left join region on n_regionkey = r_regionkey)
         select 'retail.dbo.' || t as topic, key, 0::int as partition, "offset", make_timestamp(ts_ms * 1000) as timestamp,
-               op, op in ('u', 'd') as has_before, op <> 'd' as has_after, ts_ms as source_ts_ms, ts_ms
+               op, case when op in ('u', 'd') then image end as before_row, case when op <> 'd' then image end as after_row,
+               ts_ms as source_ts_ms, ts_ms
         from sent""",
     "cdc_include": """
         select event_type, event_id, user_id from events

@@ -46,6 +46,15 @@ def _stream(spark: SparkSession, d: str, table: str, batches: int = standins.BAT
     return file_records(spark, path, max_files_per_trigger=files)
 
 
+# All fields that the records carry, whatever their table.
+IMAGE_FIELDS = {
+    "txn_id": "BIGINT", "store_id": "INT", "product_id": "INT", "customer_id": "INT", "qty": "INT",
+    "unit_price": "DECIMAL(12,2)", "total_amount": "DECIMAL(12,2)", "status": "STRING", "name": "STRING",
+    "loyalty_tier": "STRING", "total_spend": "DECIMAL(12,2)", "category": "STRING", "brand": "STRING",
+    "is_active": "BOOLEAN", "city": "STRING", "region": "STRING",
+}
+
+
 def cdc_scan(spark: SparkSession, d: str, batches: int = standins.BATCHES) -> DataFrame:
     """All records of the four topics, read as a stream and stored as they come."""
     out = fresh_dir(spark, "cdc-scan")
@@ -63,7 +72,17 @@ def cdc_scan(spark: SparkSession, d: str, batches: int = standins.BATCHES) -> Da
     both = parts[0]
     for part in parts[1:]:
         both = both.unionByName(part)
-    sent = F.from_json("value", "op STRING, before STRING, after STRING, source STRUCT<ts_ms: BIGINT>, ts_ms BIGINT")
+    image = ", ".join(f"{name}: {kind}" for name, kind in IMAGE_FIELDS.items())
+    sent = F.from_json(
+        "value", f"op STRING, before STRUCT<{image}>, after STRUCT<{image}>, source STRUCT<ts_ms: BIGINT>, ts_ms BIGINT"
+    )
+
+    def told(side: str) -> Column:
+        """The fields of an image as text, in order."""
+        row = F.col(f"_sent.{side}")
+        fields = F.concat_ws("|", *[F.coalesce(row[c].cast("string"), F.lit("~")) for c in IMAGE_FIELDS])
+        return F.when(row.isNotNull(), fields).alias(f"{side}_row")
+
     return both.withColumn("_sent", sent).select(
         "topic",
         F.col("key").cast("long").alias("key"),
@@ -71,8 +90,8 @@ def cdc_scan(spark: SparkSession, d: str, batches: int = standins.BATCHES) -> Da
         "offset",
         "timestamp",
         F.col("_sent.op").alias("op"),
-        F.col("_sent.before").isNotNull().alias("has_before"),
-        F.col("_sent.after").isNotNull().alias("has_after"),
+        told("before"),
+        told("after"),
         F.col("_sent.source.ts_ms").alias("source_ts_ms"),
         F.col("_sent.ts_ms").alias("ts_ms"),
     )
