@@ -332,6 +332,7 @@ ORACLE = {
 for _name in ("sales_summary", "customer_loyalty"):
     ORACLE[f"incremental_{_name}"] = ORACLE[_name]
 ORACLE |= {
+    "silver_keyed_state": ORACLE["silver_stream_sales"],
     "snapshot_diff_digest": ORACLE["snapshot_diff"],
     "gold_reconcile_digest": ORACLE["gold_reconcile"],
     "raw_variant": ORACLE["raw_ingest"],

@@ -23,6 +23,7 @@ from tidefold.sinks.layout import Layout
 from tidefold.sinks.silver import commit_batch, read_change_log, read_silver, store_log
 from tidefold.sources.streams import file_records
 from tidefold.sources.tables import read_table
+from tidefold.streaming.keyed import read_keyed_live, start_keyed
 from tidefold.streaming.raw import image_fields, read_raw, replayable, start_raw, start_raw_variant
 from tidefold.streaming.silver import start_silver
 
@@ -304,6 +305,13 @@ def silver_stream_sales(spark: SparkSession, d: str, batches: int = standins.BAT
     return read_silver(spark, layout, SALES).select(*standins.SALE_COLUMNS, "customer_id")
 
 
+def silver_keyed_state(spark: SparkSession, d: str, batches: int = standins.BATCHES) -> DataFrame:
+    """The sales stream, its state kept in a state store and read back."""
+    layout = Layout(fresh_dir(spark, "keyed-sales"))
+    start_keyed(_stream(spark, d, "sales_transactions", batches), SALES, layout, AVAILABLE_NOW).awaitTermination()
+    return read_keyed_live(spark, layout, SALES).select(*standins.SALE_COLUMNS, "customer_id")
+
+
 def silver_stream_compacted(spark: SparkSession, d: str) -> DataFrame:
     """Customers: the snapshot comes first, the events are folded into its buckets."""
     layout = Layout(fresh_dir(spark, "silver-customers"))
@@ -691,6 +699,7 @@ QUERIES = {
     "silver_stores": silver_stores,
     "silver_deletes": silver_deletes,
     "silver_stream_sales": silver_stream_sales,
+    "silver_keyed_state": silver_keyed_state,
     "silver_stream_compacted": silver_stream_compacted,
     "silver_late_changes": silver_late_changes,
     "independent_streams": independent_streams,
