@@ -89,6 +89,31 @@ def test_scan_abandons_but_keeps_the_nearest():
     assert np.mean([len(a) for a in kept]) < 1000  # of 2000
 
 
+def test_without_the_test_no_neighbour_is_lost():
+    """The fallback: no bound to start with, and only what is farther than the bound goes; also k + 2 vectors alone."""
+    random = np.random.default_rng(8)
+    rotation, _ = np.linalg.qr(random.standard_normal((48, 48)))
+    for n in (12, 13, 500, 3000):
+        held = random.standard_normal((n, 48)) * random.choice([0.1, 1, 5], (n, 1))
+        asked = held[:40] + 0.01
+        found = scan(asked, np.full(len(asked), np.inf), held, rotation, 10, errors=float("inf"))
+        for query, alive in zip(asked, found):
+            far = ((held - query) ** 2).sum(axis=1)
+            assert set(np.argsort(far, kind="stable")[:11]) <= set(alive)
+
+
+def test_recall_where_the_fit_sees_a_quarter(spark, monkeypatch):
+    """Lists, probes and bounds are fitted on a part of the vectors; all are indexed."""
+    rows = vectors(1600, 64, seed=3, clusters=1)
+    monkeypatch.setattr(ann, "SAMPLE", 400)
+    found = {}
+    for r in nearest(table(spark, rows), F.col("vec_id") % 100 == 0).collect():
+        found.setdefault(r.query_id, set()).add(r.vec_id)
+    expected = brute(rows, 10, 100)
+    assert all(len(found[q]) == 10 for q in expected)
+    assert sum(len(found[q] & {j for _, j in v}) for q, v in expected.items()) >= 0.9 * 10 * len(expected)
+
+
 def test_empty_table(spark):
     empty = table(spark, [])
     assert nearest(empty, F.col("vec_id") % 10 == 0).count() == 0

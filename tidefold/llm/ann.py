@@ -94,9 +94,10 @@ def fit(distinct: DataFrame, k: int = K, seed: int = 11) -> Index | None:
 
 
 def scan(
-    queries: np.ndarray, bounds: np.ndarray, vectors: np.ndarray, rotation: np.ndarray, k: int
+    queries: np.ndarray, bounds: np.ndarray, vectors: np.ndarray, rotation: np.ndarray, k: int, errors: float = ERRORS
 ) -> list[np.ndarray]:
-    """For each query the positions of vectors that no test has dropped.
+    """For each query the positions of vectors that no test has dropped; with infinite ``errors`` there is no test, and
+    only vectors that are farther than the bound go.
 
     ``bounds`` are squared distances that k + 1 vectors are known to keep; the scan lowers a query's bound to the
     largest distance of the k + 1 vectors that are nearest by the first block of columns.
@@ -115,8 +116,8 @@ def scan(
             if a == 0 and len(alive) > k:
                 best = np.argpartition(partial, k)[: k + 1]
                 bound = min(bound, float(((turned[best] - query) ** 2).sum(1).max()))
-            slack = 1 + 1e-9 if b == width else (1 + ERRORS / b**0.5) ** 2
-            keep = partial * (width / b) <= bound * slack
+            slack = 1 + 1e-9 if b == width else (1 + errors / b**0.5) ** 2
+            keep = partial * (width / b) <= bound * slack if np.isfinite(slack) else np.ones(len(partial), bool)
             alive, partial = alive[keep], partial[keep]
             if not len(alive):
                 break
@@ -141,7 +142,7 @@ def nearest(
     VECTORS_AT_ONCE vectors or QUERIES_AT_ONCE queries are dealt to several tasks. Returns ``query_id``, ``rank``
     (from 1), ``vec_id`` and ``score``, the distance in double precision on the original vectors; ties go to the
     smaller id. Where the probed lists hold fewer than ``k`` candidates, the query is compared with all vectors, in
-    blocks.
+    blocks and without the test.
 
     * NULL, empty and zero vectors and those with NULL or non-finite components take no part, neither do NULL ids.
     * Vectors of another length than most are compared with those of their own length.
@@ -189,11 +190,11 @@ def _searched(distinct: DataFrame, asked: DataFrame, k: int, index: Index | None
     if short.isEmpty():
         return found
     whole = session.sparkContext.broadcast(asdict(index) | {"probes": len(index.centre), "anchors": index.anchors[:0]})
-    exact = _scanned(placed, settled(_probing(short, whole, k)), whole, k)
+    exact = _scanned(placed, settled(_probing(short, whole, k)), whole, k, errors=float("inf"))
     return found.join(short, "vector", "left_anti").unionByName(exact)
 
 
-def _scanned(placed: DataFrame, probing: DataFrame, sent, k: int) -> DataFrame:
+def _scanned(placed: DataFrame, probing: DataFrame, sent, k: int, errors: float = ERRORS) -> DataFrame:
     """Scan the lists for the queries that probe them; keep the k + 1 best ids of each query."""
     # Sizes of lists: a row for each, at most SAMPLE / 30.
     sizes = {r["list"]: r["n"] for r in placed.groupBy("list").agg(F.count("*").alias("n")).collect()}
@@ -215,7 +216,7 @@ def _scanned(placed: DataFrame, probing: DataFrame, sent, k: int) -> DataFrame:
         held = np.stack(left["vector"].to_numpy())
         asking = np.stack(right["vector"].to_numpy())
         ids = left["ids"].to_numpy()
-        survivors = scan(asking, right["bound"].to_numpy(), held, sent.value["rotation"], k)
+        survivors = scan(asking, right["bound"].to_numpy(), held, sent.value["rotation"], k, errors)
         out = [empty]
         for query, alive in zip(asking, survivors, strict=True):
             exact = np.sqrt(((held[alive] - query) ** 2).sum(1))
