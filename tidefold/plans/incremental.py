@@ -49,9 +49,9 @@ def _sales_change(images: DataFrame) -> DataFrame:
 
 
 def _sale_counts(images: DataFrame) -> DataFrame:
-    return images.filter("customer_id is not null").select(
-        "snapshot_id", "customer_id", signed_count().alias("txn_count")
-    )
+    """Counted before the shuffle: a customer with very many sales sends a row for each task and batch."""
+    counted = images.filter("customer_id is not null").groupBy("snapshot_id", "customer_id")
+    return counted.agg(F.sum(signed_count()).alias("txn_count"))
 
 
 def _profiles(images: DataFrame) -> DataFrame:
@@ -147,7 +147,7 @@ def advance(
         fresh = fresh.filter(F.col("snapshot_id") > F.coalesce(F.try_element_at("taken", "source"), F.lit(-1).cast("long")))
         rows = stored.filter("taken is null").select("bucket", *columns)
         united = rows.unionByName(fresh.select("bucket", *[c for c in columns if c in fresh.columns]), allowMissingColumns=True)
-        united = united.repartition("bucket").groupBy("bucket", *keys).agg(*fold).filter(aggregate.stays)
+        united = united.groupBy("bucket", *keys).agg(*fold).filter(aggregate.stays)
         held = spark.createDataFrame([(b,) for b in touched], "bucket INT").join(known, "bucket", "left")
         others = F.map_filter(F.coalesce("taken", F.create_map().cast("map<string,bigint>")), lambda t, b: ~t.isin(*until))
         marks = held.select("bucket", F.map_concat(others, taken).alias("taken"))
