@@ -5,16 +5,17 @@ from __future__ import annotations
 import pytest
 from conftest import values
 from pyspark.sql import functions as F
-from records import SALES
+from records import SALES, document, records, row
 from test_landing import directory  # noqa: F401
 from test_streams import DOCUMENTS, NOW, expected, land
 
+from tidefold.operators.envelope import decode_changelog
 from tidefold.plans import queries, standins
-from tidefold.schemas import RECORD_DDL
+from tidefold.schemas import ORDER, RECORD_DDL
 from tidefold.session import SHUFFLE_CLEANUP, shuffles_removed
 from tidefold.sinks.layout import path_exists
 from tidefold.sources.streams import file_records
-from tidefold.streaming.keyed import read_keyed_live, start_keyed
+from tidefold.streaming.keyed import newest_changes, read_keyed_live, start_keyed
 
 
 def optimized(df):
@@ -68,3 +69,12 @@ def test_shuffles_go_with_their_write_unless_the_submitter_chose(spark, chosen):
         assert spark.conf.get(SHUFFLE_CLEANUP, None) == chosen
     finally:
         spark.conf.unset(SHUFFLE_CLEANUP)
+
+
+def test_the_state_holds_key_and_order_once(spark):
+    documents = [document("c", None, row(1, qty=1), 5), document("u", row(1), row(1, qty=2), 5), document("d", row(1), None, 4)]
+    found = newest_changes(decode_changelog(records(spark, documents), SALES), SALES)
+    assert "txn_id" not in found.schema["newest"].dataType.names
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "max_by" not in plan and [(r.newest.op, r.newest.qty) for r in found.collect()] == [("u", 2)]
+    assert found.schema["newest"].dataType.names[:2] == list(ORDER)
